@@ -16,8 +16,6 @@ an empty documents table gives an empty result, an empty benchmark a clean one;
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +26,8 @@ KGRAM = 5
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, all else as it is."""
-    plain = F.octet_length(text) == F.char_length(text)
-    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-
-
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NO_WORD), "")
+    return F.array_remove(F.split(common.lower_ascii(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
 def _gram(i: str, k: int) -> str:

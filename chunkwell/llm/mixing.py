@@ -11,7 +11,7 @@ bounded size, so one source with a third of all rows is many blocks.
 
 Results for the unusual cases: a null source is a source of its own; null and blank texts have no tokens, and such
 rows ride along with whole passes and with the partial pass they fall into; rows that repeat are drawn one by one;
-an empty table, or one without tokens, is returned as it is, each row once; extra columns pass through ``mix``.
+an empty table gives an empty result, one without tokens comes back with each row once; extra columns pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ SEED = 17
 #: Rows of one block on average.
 BLOCK_ROWS = 10_000
 STEPS = 60
+#: Rows of the plan's table (under 200 bytes each) up to which it is broadcast; beyond, rows are joined by block.
+BROADCAST_ROWS = 50_000
 
 
 def weights(tokens: list[int], exponent: float) -> list[float]:
@@ -50,6 +52,8 @@ def solve(tokens: list[int], entropy_share: float = ENTROPY_SHARE, max_passes: f
     """The exponent. Entropy falls and the most passes fall as the exponent rises, so both bisect."""
     budget = sum(tokens) if budget is None else budget
     live = [n for n in tokens if n]
+    if not live:
+        return 1.0
     target = entropy_share * math.log(len(live)) if len(live) > 1 else 0.0
 
     def bisect(too_high) -> float:
@@ -66,47 +70,65 @@ def solve(tokens: list[int], entropy_share: float = ENTROPY_SHARE, max_passes: f
     return exponent
 
 
-def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy_share: float = ENTROPY_SHARE, max_passes: float = MAX_PASSES, budget_share: float = BUDGET_SHARE, seed: int = SEED) -> tuple[DataFrame, dict]:
-    """(rows, report): rows has id, source, n_tokens, copies for every row of df; report has each source's weight."""
-    base = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+")).cast("long").alias("n_tokens"))
-    base = common.cut(base.withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit(""))))))
-    sums = base.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).collect()
-    sums = sorted(sums, key=lambda r: (r["source"] is not None, r["source"] or ""))
-    total, rows = sum(r.tokens for r in sums), sum(r["rows"] for r in sums)
-    if not total:
-        return base.select("id", "source", "n_tokens", F.lit(1).cast("long").alias("copies")), {}
-    budget = int(total * budget_share)
-    exponent = solve([r.tokens for r in sums], entropy_share, max_passes, budget)
-    share = dict(zip([r.source for r in sums], weights([r.tokens for r in sums], exponent), strict=True))
-    report = {r.source: {"tokens": r.tokens, "weight": share[r.source], "target": int(share[r.source] * budget)} for r in sums} | {"exponent": exponent}
-    per_source = df.sparkSession.createDataFrame([(r.source, report[r.source]["target"] // r.tokens if r.tokens else 1, report[r.source]["target"] % r.tokens if r.tokens else 0) for r in sums], f"source {base.schema['source'].dataType.simpleString()}, passes long, rest long")
-    blocks = max(1, rows // BLOCK_ROWS)
-    # the draw's first digits deal rows into blocks; the blocks are taken in an order of their own
-    dealt = base.withColumn("block", F.expr(f"cast((cast(conv(substr(draw, 1, 8), 16, 10) as bigint) * {blocks}L) div 4294967296L as int)"))
-    block_sums = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
-    turn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("source").cast("string"), F.lit("")), "block"))
-    so_far = Window.partitionBy("source").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
-    block_sums = block_sums.withColumn("turn", turn).withColumn("start", F.coalesce(F.sum("tokens").over(so_far), F.lit(0)))
-    block_sums = block_sums.join(F.broadcast(per_source), block_sums["source"].eqNullSafe(per_source["source"])).select(block_sums["source"].alias("bs"), F.col("block").alias("bb"), "passes", F.expr("case when start + tokens <= rest then 'all' when start < rest then 'part' else 'none' end").alias("take"), F.expr("rest - start").alias("room"))
-    block_sums = common.cut(block_sums)
-    placed = dealt.join(block_sums, dealt["source"].eqNullSafe(block_sums["bs"]) & (dealt["block"] == block_sums["bb"])).drop("bs", "bb")
-    # one block a source at most is cut within
-    inside = Window.partitionBy("source", "block").orderBy("draw", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    cut = placed.where("take = 'part'").withColumn("upto", F.sum("n_tokens").over(inside))
-    cut = cut.withColumn("copies", F.expr("passes + if(upto <= room, 1, 0)")).drop("upto")
-    whole = placed.where("take <> 'part'").withColumn("copies", F.expr("passes + if(take = 'all', 1, 0)"))
-    return whole.unionByName(cut).select("id", "source", "n_tokens", "copies"), report
+def _dealt(df: DataFrame, id_col: str, source_col: str, blocks: int, seed: int) -> DataFrame:
+    """df with __source, __draw (a seeded hex digest of the id) and __block, into which its first digits deal the row."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
+    block = F.expr(f"cast((cast(conv(substr(__draw, 1, 8), 16, 10) as bigint) * {blocks}L) div 4294967296L as int)")
+    return df.withColumn("__source", F.col(f"`{source_col}`")).withColumn("__draw", draw).withColumn("__block", block)
+
+
+def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy_share: float = ENTROPY_SHARE, max_passes: float = MAX_PASSES, budget_share: float = BUDGET_SHARE, seed: int = SEED) -> tuple[DataFrame, int, dict]:
+    """(table, blocks, report): table has, per source and block, the whole passes and the digest up to which the
+    partial pass takes the block's rows (all, none or up to a cut); report has each source's weight and target."""
+    tokens = F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(r"\S+")).cast("long")
+    blocks = max(1, df.count() // BLOCK_ROWS)
+    narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), tokens.alias("n_tokens"))
+    base = common.cut(_dealt(narrow, "id", "source", blocks, seed).select("__source", "__draw", "__block", "n_tokens"))
+    sums = base.groupBy("__source", "__block").agg(F.sum("n_tokens").alias("tokens"))
+    sums = common.cut(sums)
+    per_source = sums.groupBy("__source").agg(F.sum("tokens").alias("tokens")).collect()
+    per_source = sorted(per_source, key=lambda r: (r["__source"] is not None, r["__source"] or ""))
+    held = [r.tokens for r in per_source]
+    budget = int(sum(held) * budget_share)
+    exponent = solve(held, entropy_share, max_passes, budget) if sum(held) else 1.0
+    share = weights(held, exponent) if sum(held) else [0.0] * len(held)
+    targets = [int(w * budget) for w in share]
+    report = {"exponent": exponent, "sources": [{"source": r["__source"], "tokens": r.tokens, "weight": w, "target": t} for r, w, t in zip(per_source, share, targets, strict=True)]}
+    kind = df.schema[source_col].dataType.simpleString()
+    asked = df.sparkSession.createDataFrame([(r["__source"], t // n if n else 1, t % n if n else 0) for r, n, t in zip(per_source, held, targets, strict=True)], f"s {kind}, passes long, rest long")
+    # the blocks of a source are taken in a permuted order of their own
+    turn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("__source").cast("string"), F.lit("")), "__block"))
+    so_far = Window.partitionBy("__source").orderBy("turn", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("turn", turn).withColumn("start", F.coalesce(F.sum("tokens").over(so_far), F.lit(0)))
+    placed = placed.join(F.broadcast(asked), placed["__source"].eqNullSafe(asked["s"]))  # one row a source
+    placed = common.cut(placed.select(F.col("__source").alias("ps"), F.col("__block").alias("pb"), "passes", F.expr("rest - start").alias("room"), F.expr("start + tokens <= rest").alias("whole")))
+    # one block a source at most is cut within: its rows in the order of their digests, as far as there is room
+    open_blocks = placed.where("not whole and room > 0")
+    rows = base.join(F.broadcast(open_blocks), base["__source"].eqNullSafe(open_blocks["ps"]) & (base["__block"] == open_blocks["pb"]))
+    upto = Window.partitionBy("ps", "pb").orderBy("__draw").rangeBetween(Window.unboundedPreceding, 0)
+    cuts = rows.withColumn("upto", F.sum("n_tokens").over(upto)).where("upto <= room").groupBy(F.col("ps").alias("cs"), F.col("pb").alias("cb")).agg(F.max("__draw").alias("cut"))
+    table = placed.join(cuts, placed["ps"].eqNullSafe(cuts["cs"]) & (placed["pb"] == cuts["cb"]), "left")
+    table = table.select("ps", "pb", "passes", F.expr("case when whole then 'g' else coalesce(cut, '') end").alias("take"))
+    return common.cut(table), blocks, report
+
+
+def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
+    """df with ``__copies``, how often the plan takes the row; texts are not shuffled while the plan's table is small."""
+    table, blocks, _ = plan(df, id_col, text_col, source_col, seed=seed, **options)
+    dealt = _dealt(df, id_col, source_col, blocks, seed)
+    held = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    joined = dealt.join(held, dealt["__source"].eqNullSafe(table["ps"]) & (dealt["__block"] == table["pb"]))
+    # hex digests sort before 'g' and after ''
+    return joined.withColumn("__copies", F.expr("passes + if(__draw <= take, 1, 0)")).select(*[dealt[f"`{c}`"] for c in df.columns], "__copies")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of df, each as often as the plan says, with all their columns."""
-    rows, _ = plan(df, id_col, text_col, source_col, **options)
-    # rows that share an id split its copies; a null id is matched as a value
-    copies = common.cut(rows.groupBy(F.col("id").alias("__id")).agg(F.sum("copies").alias("__sum"), F.count("*").alias("__rows")))
-    joined = df.withColumn("__n", F.lit(0)).drop("__n").join(copies, df[id_col].eqNullSafe(copies["__id"]))
-    return joined.withColumn("__c", F.explode(F.expr("sequence(1, greatest(1, cast(ceil(__sum / __rows) as int)))"))).where("__c <= __sum / __rows").select(*[joined[f"`{c}`"] for c in df.columns])
+    taken = copies(df, id_col, text_col, source_col, **options).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = plan(common.read(spark, sf_dir, "documents"))
-    return rows.select(F.col("id").alias("doc_id"), "source", "n_tokens", "copies")
+    """One row per document: how often it is taken."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return copies(docs).select("doc_id", "source", F.col("__copies").alias("copies"))

@@ -98,20 +98,18 @@ def sketch(words: np.ndarray, kgram: int = KGRAM, sketches: int = SKETCHES) -> n
     occurrence = np.empty(n, dtype=np.uint64)
     occurrence[order] = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
     labels = _mix(grams + occurrence * _ODD)
-    keys = np.empty(sketches, dtype=np.uint64)
-    for i, seed in enumerate(_seeds(sketches)):
-        drawn = labels * seed
+    low, high = np.zeros(sketches, dtype=np.int64), np.zeros(sketches, dtype=np.int64)
+    seeds = _seeds(sketches)
+    for i in range(sketches):
+        drawn = labels * seeds[i]
         drawn ^= drawn >> np.uint64(32)
         drawn *= _ODD
-        a = int(drawn.argmin())
-        if n == 1:
-            keys[i] = labels[a] ^ seed
-            continue
-        drawn[a] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        b = int(drawn.argmin())
-        low, high = (a, b) if a < b else (b, a)
-        keys[i] = labels[low] * np.uint64(0xD6E8FEB86659FD93) + labels[high] + seed
-    return _mix(keys).view(np.int64)
+        one = two = int(drawn.argmin())
+        if n > 1:
+            drawn[one] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            two = int(drawn.argmin())
+        low[i], high[i] = min(one, two), max(one, two)
+    return _mix(labels[low] * np.uint64(0xD6E8FEB86659FD93) + labels[high] + seeds).view(np.int64)
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:

@@ -1,2 +1,60 @@
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return
+the columns of ``documents``; the last adds each row's shard.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from chunkwell.llm import common, decontaminate, mixing, near_dedup, quality, sharding
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.filter_quality(docs, common.read(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    return near_dedup.deduplicate(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated or thinned to their tempered weights."""
+    return mixing.mix(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets a shard and its slot there."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontaminate_stage),
+    ("temperature_mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+#: Classifier and near-dedup are not expressible in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    folder = f"{common.checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
