@@ -156,7 +156,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH l AS (
-  SELECT doc_id, i - 1 AS line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(t[i], '[ \t\x0B\f\r]+'), x -> x <> ''))) AS w
+  SELECT doc_id, i - 1 AS line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(t[i], '[ \t\x0B\f\r]+'), lambda x: x <> ''))) AS w
   FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents) y) z),
 f AS (SELECT *, len(w) AS n, row_number() OVER (PARTITION BY w ORDER BY doc_id, line_no) AS r FROM l),
 c AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS cid, doc_id, line_no, w, n FROM f WHERE r = 1 AND n > 0),
