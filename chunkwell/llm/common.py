@@ -8,8 +8,10 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of 64 bits in the bitmaps that plans carry as literals; 2**14 words are one million bits.
-LITERAL_WORDS = 1 << 14
+#: Words of 64 bits in a bitmap that a plan carries as a literal; they are some 80 KB of plan text.
+LITERAL_WORDS = 1 << 12
+#: Keys (two longs each) that are broadcast at most: under 40 MB as a hash table.
+BROADCAST_KEYS = 500_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -58,20 +60,16 @@ def bitmap_literal(found: list[tuple[int, int]], words: int) -> str:
     return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)"
 
 
-def in_bitmap(literal: str, words: int, h: str) -> Column:
-    """Whether the bit of SQL expression ``h`` (a long) is set: false means surely absent."""
-    return F.expr(f"(shiftrightunsigned(({literal})[cast(pmod({h}, {64 * words}L) div 64 as int)], cast(pmod({h}, {64 * words}L) % 64 as int)) & 1L) = 1L")
+def matched(df: DataFrame, keys: DataFrame, on: Column, how: str) -> DataFrame:
+    """Join df with a checkpointed table of keys: broadcast while the keys' number is within BROADCAST_KEYS, beyond
+    that shuffled. keys are unique, so neither way repeats rows."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
 def drop_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of df whose key is not in ids (one column of that name, nulls ignored).
 
-    Rows outside a bounded bitmap of the ids pass without a shuffle; only the possible members are joined.
     A null key is never dropped. Extra columns of any name pass through.
     """
-    words = LITERAL_WORDS
     gone = cut(ids.select(F.col(key).alias("__gone")).where("__gone is not null").distinct())
-    literal = bitmap_literal(bitmap_words(gone.select(F.xxhash64("__gone").alias("h")), words), words)
-    maybe = F.coalesce(in_bitmap(literal, words, f"xxhash64(`{key}`)"), F.lit(False)) & F.col(f"`{key}`").isNotNull()
-    held = df.where(maybe)
-    return df.where(~maybe).unionByName(held.join(gone, held[f"`{key}`"] == gone["__gone"], "left_anti"))
+    return matched(df, gone, df[f"`{key}`"] == gone["__gone"], "left_anti")

@@ -85,11 +85,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, simil
     pairs = common.cut(pairs.distinct())
     wanted = pairs.select(F.col("a_id").alias("wid"), F.col("a_line").alias("wline")).unionByName(pairs.select(F.col("b_id").alias("wid"), F.col("b_line").alias("wline")))
     wanted = common.cut(wanted.distinct())
-    words = common.LITERAL_WORDS
-    literal = common.bitmap_literal(common.bitmap_words(wanted.select(F.xxhash64("wid", "wline").alias("h")), words), words)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")).where(common.in_bitmap(literal, words, "xxhash64(id, line_no)"))
-    sets = lines.join(wanted, lines["id"].eqNullSafe(wanted["wid"]) & (lines["line_no"] == wanted["wline"])).select("wid", "wline", F.array_distinct(F.array_remove(F.split("line", BLANKS), "")).alias("w"))
+    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    sets = common.matched(lines, wanted, lines["id"].eqNullSafe(wanted["wid"]) & (lines["line_no"] == wanted["wline"]), "inner").select("wid", "wline", F.array_distinct(F.array_remove(F.split("line", BLANKS), "")).alias("w"))
     sets = common.cut(sets.dropDuplicates(["wid", "wline"]))
     a, b = sets.select(F.col("wid").alias("i"), F.col("wline").alias("l"), F.col("w").alias("wa")), sets.select(F.col("wid").alias("j"), F.col("wline").alias("m"), F.col("w").alias("wb"))
     both = pairs.join(a, pairs["a_id"].eqNullSafe(a["i"]) & (pairs["a_line"] == a["l"])).join(b, pairs["b_id"].eqNullSafe(b["j"]) & (pairs["b_line"] == b["m"]))

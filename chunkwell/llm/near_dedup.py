@@ -189,12 +189,10 @@ def _verifier(similarity: float):
 
 
 def _words_for(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, words) of the documents in pairs; a bounded bitmap keeps most others out of the join."""
+    """(id, words) of the documents in pairs."""
     wanted = common.cut(pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct())
-    words = common.LITERAL_WORDS
-    literal = common.bitmap_literal(common.bitmap_words(wanted.select(F.xxhash64("want").alias("h")), words), words)
-    maybe = docs.where(common.in_bitmap(literal, words, "xxhash64(id)")).mapInArrow(_hash_rows, "id long, words binary")
-    return common.cut(maybe.join(wanted, F.col("id") == F.col("want"), "left_semi").dropDuplicates(["id"]))
+    held = common.matched(docs, wanted, F.col("id") == F.col("want"), "left_semi")
+    return common.cut(held.mapInArrow(_hash_rows, "id long, words binary").dropDuplicates(["id"]))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
