@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,20 +15,23 @@ MAX_BLOCK_BYTES = 8 * 1024 * 1024
 MAX_CHUNKS = 1024
 
 
-def pack_run(sizes: np.ndarray, limit: int, most: int) -> np.ndarray:
-    """Block number of each chunk of one run: a block takes chunks while their count and bytes allow, one at least.
+def pack_run(sizes: np.ndarray, limit: int, most: int, open_bytes: int = 0, open_count: int = 0, number: int = 0) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int]]:
+    """Block number and place in the block of each chunk of (a part of) one run, and the state to go on from.
 
-    Bytes are prefix sums, so each block's end is one binary search, not a step per chunk.
+    A block takes chunks while their count and bytes allow, one at least. Bytes are prefix sums, so each block's
+    end is one binary search, not a step per chunk. The state is the open block's bytes, chunks and number.
     """
-    ends = np.cumsum(sizes, dtype=np.int64)
-    out, start, number = np.empty(len(sizes), dtype=np.int64), 0, 0
-    while start < len(sizes):
-        before = ends[start - 1] if start else 0
-        stop = int(np.searchsorted(ends, before + limit, "right"))
-        stop = min(max(stop, start + 1), start + most)
-        out[start:stop] = number
-        start, number = stop, number + 1
-    return out
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    block, ord_, start, n = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64), 0, len(sizes)
+    while start < n:
+        stop = int(np.searchsorted(ends, ends[start] + limit - open_bytes, "right")) - 1
+        stop = min(max(stop, start + (open_count == 0)), start + most - open_count, n)
+        block[start:stop] = number
+        ord_[start:stop] = open_count + np.arange(stop - start)
+        if stop == n:
+            return block, ord_, (open_bytes + int(ends[n] - ends[start]), open_count + stop - start, number)
+        start, open_bytes, open_count, number = stop, 0, 0, number + 1
+    return block, ord_, (open_bytes, open_count, number)
 
 
 def pack(chunks: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES, max_chunks: int = MAX_CHUNKS, group: str | None = None) -> DataFrame:
@@ -43,14 +48,24 @@ def pack(chunks: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES, max_chunks:
     changed = F.coalesce((F.lag("chunk_tag").over(order) != F.col("chunk_tag")).cast("long"), F.lit(0))
     runs = chunks.withColumn("changed", changed).withColumn("run", F.sum("changed").over(order)).drop("changed")
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos", kind="stable")
-        frame["block"] = pack_run(frame["chunk_size"].to_numpy(), limit, most)
-        frame["ord"] = frame.groupby("block").cumcount()
-        return frame
+    ids = [*keys, "run"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, (0, 0, 0)
+        for frame in frames:
+            block, ord_ = np.empty(len(frame), dtype=np.int64), np.empty(len(frame), dtype=np.int64)
+            sizes = frame["chunk_size"].to_numpy()
+            same = (frame[ids] == frame[ids].shift()).all(axis=1).to_numpy()
+            cuts = [0, *(np.flatnonzero(~same[1:]) + 1).tolist(), len(frame)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                own = tuple(frame[ids].iloc[low])
+                if own != last:
+                    last, state = own, (0, 0, 0)
+                block[low:high], ord_[low:high], state = pack_run(sizes[low:high], limit, most, *state)
+            yield frame.assign(block=block, ord=ord_)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema) + ", block long, ord long"
-    return runs.groupBy(*keys, "run").applyInPandas(one, schema)
+    return runs.repartition(*ids).sortWithinPartitions(*ids, "pos").mapInPandas(run, schema)
 
 
 def pack_missing(version_chunks: DataFrame, block_chunks: DataFrame, **limits) -> DataFrame:

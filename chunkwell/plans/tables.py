@@ -54,10 +54,10 @@ f2 AS (
     UNION ALL SELECT DISTINCT source || '/' || lang || '/', ''::BLOB, 493 FROM documents WHERE doc_id % 10 <> 1) x),
 r1 AS (SELECT asset_pos, data, size, unnest(generate_series(0, (size - 1) // 1024)) AS r FROM f1 WHERE size > 0),
 r2 AS (SELECT asset_pos, data, size, unnest(generate_series(0, (size - 1) // 1024)) AS r FROM f2 WHERE size > 0),
-p1 AS (SELECT asset_pos, data, r * 1024 + i * 48 AS at, least(48, least(1024, size - r * 1024) - i * 48) AS n FROM (SELECT *, unnest(generate_series(0, (least(1024, size - r * 1024) - 1) // 48)) AS i FROM r1) x),
-p2 AS (SELECT asset_pos, data, r * 1024 + i * 48 AS at, least(48, least(1024, size - r * 1024) - i * 48) AS n FROM (SELECT *, unnest(generate_series(0, (least(1024, size - r * 1024) - 1) // 48)) AS i FROM r2) x),
-c1 AS (SELECT asset_pos, CAST(row_number() OVER (PARTITION BY asset_pos ORDER BY at) - 1 AS BIGINT) AS ord, CAST(at AS BIGINT) AS asset_offset, ('0x' || substr(md5(data[at + 1:at + n]), 1, 15))::BIGINT AS chunk_hash, CAST(n AS BIGINT) AS chunk_size FROM p1),
-c2 AS (SELECT asset_pos, CAST(row_number() OVER (PARTITION BY asset_pos ORDER BY at) - 1 AS BIGINT) AS ord, CAST(at AS BIGINT) AS asset_offset, ('0x' || substr(md5(data[at + 1:at + n]), 1, 15))::BIGINT AS chunk_hash, CAST(n AS BIGINT) AS chunk_size FROM p2),
+p1 AS (SELECT asset_pos, data, r * 1024 + i * 48 AS o, least(48, least(1024, size - r * 1024) - i * 48) AS n FROM (SELECT *, unnest(generate_series(0, (least(1024, size - r * 1024) - 1) // 48)) AS i FROM r1) x),
+p2 AS (SELECT asset_pos, data, r * 1024 + i * 48 AS o, least(48, least(1024, size - r * 1024) - i * 48) AS n FROM (SELECT *, unnest(generate_series(0, (least(1024, size - r * 1024) - 1) // 48)) AS i FROM r2) x),
+c1 AS (SELECT asset_pos, CAST(row_number() OVER (PARTITION BY asset_pos ORDER BY o) - 1 AS BIGINT) AS ord, CAST(o AS BIGINT) AS asset_offset, ('0x' || substr(md5(data[o + 1:o + n]), 1, 15))::BIGINT AS chunk_hash, CAST(n AS BIGINT) AS chunk_size FROM p1),
+c2 AS (SELECT asset_pos, CAST(row_number() OVER (PARTITION BY asset_pos ORDER BY o) - 1 AS BIGINT) AS ord, CAST(o AS BIGINT) AS asset_offset, ('0x' || substr(md5(data[o + 1:o + n]), 1, 15))::BIGINT AS chunk_hash, CAST(n AS BIGINT) AS chunk_size FROM p2),
 l1 AS (SELECT asset_pos, count(*) AS chunk_count, string_agg(CAST(chunk_hash AS VARCHAR), ',' ORDER BY ord) AS l FROM c1 GROUP BY asset_pos),
 l2 AS (SELECT asset_pos, count(*) AS chunk_count, string_agg(CAST(chunk_hash AS VARCHAR), ',' ORDER BY ord) AS l FROM c2 GROUP BY asset_pos),
 a1 AS (SELECT f1.asset_pos, path, path LIKE '%/' AS is_dir, ('0x' || substr(md5(path), 1, 15))::BIGINT AS path_hash, ('0x' || substr(md5(coalesce(l, '')), 1, 15))::BIGINT AS content_hash, size, permissions, coalesce(chunk_count, 0) AS chunk_count FROM f1 LEFT JOIN l1 USING (asset_pos)),
