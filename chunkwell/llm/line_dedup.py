@@ -20,6 +20,7 @@ the row is counted once; a null doc_id comes first in order; an empty table give
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -75,9 +76,23 @@ def _passes(similarity: float) -> str:
     return f"(a_n >= {WIDE} or b_n >= {WIDE} or ({length} and {position} and {signature}))"
 
 
+#: An entry's small numbers in one long: 1 bit for a class that has its witness, 15 for size, 15 for position, 32 for the line.
+_N, _POS, _LINE, _DONE = "(shiftright({0}, 47) & 32767L)", "(shiftright({0}, 32) & 32767L)", "({0} & 4294967295L)", "(shiftright({0}, 62) & 1L)"
+
+
+def _unpacked(text: str) -> str:
+    """Names like a_n, b_pos and a_line as expressions on the packed columns a_x and b_x."""
+    for side in "ab":
+        for name, form in (("n", _N), ("pos", _POS), ("line", _LINE), ("done", _DONE)):
+            text = re.sub(rf"\b{side}_{name}\b", form.format(f"{side}_x"), text)
+    return text
+
+
 def _entries(classes: DataFrame, words: str) -> DataFrame:
-    """(t, id, line_no, n, pos, sig) for the prefix words of each class."""
-    return classes.select("id", "line_no", "n", "sig", F.posexplode(F.expr(words)).alias("pos", "t")).select("t", "id", "line_no", "n", (F.col("pos") + 1).alias("pos"), "sig")
+    """(t, id, sig, x) for the prefix words of each class (id, line_no, n, sig, prefix, done); x is packed."""
+    rows = classes.select("id", "line_no", "n", "sig", "done", F.posexplode(F.expr(words)).alias("at", "t"))
+    packed = "shiftleft(done, 62) | shiftleft(least(cast(n as bigint), 32767L), 47) | shiftleft(least(cast(at as bigint) + 1L, 32767L), 32) | cast(line_no as bigint)"
+    return rows.select("t", "id", "sig", F.expr(packed).alias("x"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
@@ -108,24 +123,24 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = lines.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no", "n", "sig", "prefix")).alias("f"))
     classes = _stored(firsts.select("h1", "h2", "f.id", "f.line_no", "f.n", "f.sig", "f.prefix"))
     # up to three words only an equal set is similar enough
-    live = classes.where("n > 3")
-    side = lambda p: [F.col("id").alias(f"{p}_id"), F.col("line_no").alias(f"{p}_line"), F.col("n").alias(f"{p}_n"), F.col("pos").alias(f"{p}_pos"), F.col("sig").alias(f"{p}_sig")]
-    order = Window.partitionBy("t").orderBy("id", "line_no")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    live = classes.where("n > 3").withColumn("done", F.lit(0).cast("long"))
+    passes = F.expr(_unpacked(_passes(similarity)))
+    named = [F.col("a_id"), F.expr(_unpacked("cast(a_line as int)")).alias("a_line"), F.col("b_id"), F.expr(_unpacked("cast(b_line as int)")).alias("b_line")]
+    upto = Window.partitionBy("t").orderBy("id", F.expr(_LINE.format("x"))).rowsBetween(Window.unboundedPreceding, -1)
     near = _entries(live, f"slice(prefix, 1, {FIRST_WORDS})")
-    leads = [F.nth_value(F.struct("id", "line_no", "n", "pos", "sig"), i + 1).over(upto).alias(f"lead{i}") for i in range(WITNESSES)]
-    near = near.select("*", *leads).select(*side("b"), F.explode(F.array(*[f"lead{i}" for i in range(WITNESSES)])).alias("x")).where("x is not null")
-    near = near.select("*", *[F.col(f"x.{c}").alias(f"a_{d}") for c, d in (("id", "id"), ("line_no", "line"), ("n", "n"), ("pos", "pos"), ("sig", "sig"))]).where(_passes(similarity))
-    seen = _verify(near.select("a_id", "a_line", "b_id", "b_line"), docs, id_col, text_col, similarity)
+    leads = [F.nth_value(F.struct("id", "sig", "x"), i + 1).over(upto).alias(f"lead{i}") for i in range(WITNESSES)]
+    near = near.select("*", *leads).select(F.col("id").alias("b_id"), F.col("sig").alias("b_sig"), F.col("x").alias("b_x"), F.explode(F.array(*[f"lead{i}" for i in range(WITNESSES)])).alias("l")).where("l is not null")
+    near = near.select("b_id", "b_sig", "b_x", F.col("l.id").alias("a_id"), F.col("l.sig").alias("a_sig"), F.col("l.x").alias("a_x")).where(passes)
+    seen = _verify(near.select(*named), docs, id_col, text_col, similarity)
     found = common.cut(seen.select(F.col("b_id").alias("fid"), F.col("b_line").alias("fline")).distinct())
-    marked = live.join(found, live["id"].eqNullSafe(found["fid"]) & (live["line_no"] == found["fline"]), "left").select("id", "line_no", "n", F.when(F.col("fline").isNotNull(), -F.col("n")).otherwise(F.col("n")).alias("signed"), "sig", "prefix")
-    # a negative size marks a class that has its witness: it can still be one for others
-    entries = marked.select("id", "line_no", F.col("signed").alias("n"), "sig", F.posexplode("prefix").alias("pos", "t")).select("t", "id", "line_no", "n", (F.col("pos") + 1).alias("pos"), "sig")
-    a, b = entries.select("t", *side("a")).alias("x"), entries.select("t", *side("b")).alias("y")
-    earlier = "((a_id is null and b_id is not null) or a_id < b_id or (a_id <=> b_id and a_line < b_line))"
-    passes = _passes(similarity).replace("a_n", "abs(a_n)")
-    joined = a.join(b, "t").where(F.expr(f"b_n > 0 and {earlier} and {passes}"))
-    more = _verify(joined.select("a_id", "a_line", "b_id", "b_line"), docs, id_col, text_col, similarity)
+    # a class that has its witness can still be one for others
+    marked = common.matched(live.drop("done"), found, live["id"].eqNullSafe(found["fid"]) & (live["line_no"] == found["fline"]), "left").select("id", "line_no", "n", "sig", "prefix", F.col("fline").isNotNull().cast("long").alias("done"))
+    side = lambda p: _entries(marked, "prefix").select("t", F.col("id").alias(f"{p}_id"), F.col("sig").alias(f"{p}_sig"), F.col("x").alias(f"{p}_x"))
+    earlier = _unpacked("((a_id is null and b_id is not null) or a_id < b_id or (a_id <=> b_id and a_line < b_line))")
+    # told of both sides at once: a filter on one side alone would keep the engine from shuffling the entries once
+    waiting = _unpacked("b_done < 1 + 0 * a_x")
+    joined = side("a").join(side("b"), "t").where(F.expr(f"{waiting} and {earlier}") & passes)
+    more = _verify(joined.select(*named), docs, id_col, text_col, similarity)
     removed = seen.unionByName(more)
     gone = common.cut(removed.select(F.col("b_id").alias("gid"), F.col("b_line").alias("gline")).distinct())
     heads = classes.select("h1", "h2", F.col("id").alias("cid"), F.col("line_no").alias("cline"))
