@@ -76,7 +76,7 @@ def align(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) ->
     tokens, chars = [], []
     for low, high in spans:
         first, last = int(np.searchsorted(ends, low, "right")), int(np.searchsorted(starts, high, "left"))
-        if first >= last:
+        if low == high or first >= last:
             continue
         tokens.append((first, last))
         a, b = np.maximum(starts[first:last], low), np.minimum(ends[first:last], high)
