@@ -188,15 +188,7 @@ def _verifier(similarity: float):
     return run
 
 
-def _words_for(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, words) of the documents in pairs."""
-    wanted = common.cut(pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct())
-    held = common.matched(docs, wanted, F.col("id") == F.col("want"), "left_semi")
-    return common.cut(held.mapInArrow(_hash_rows, "id long, words binary").dropDuplicates(["id"]))
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    words = _words_for(pairs, docs)
+def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     one, two = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     return common.cut(pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(_verifier(similarity), "a long, b long"))
 
@@ -211,35 +203,38 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     shared = common.cut(bands.join(buckets, "key").select("key", "rep", "n_words", "lead", "lead_words"))
     near = f"least(n_words, lead_words) >= {similarity} * greatest(n_words, lead_words)"
     stars = shared.where("rep <> lead").where(near).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    wanted = common.cut(shared.select(F.col("rep").alias("want")).distinct())
+    held = common.matched(docs, wanted, F.col("id") == F.col("want"), "left_semi")
+    words = common.cut(held.mapInArrow(_hash_rows, "id long, words binary").dropDuplicates(["id"]))
     tried = common.cut(stars)
-    edges = _verify(tried, docs, similarity)
-    roots = components(edges)
+    roots = components(_verify(tried, words, similarity))
     for _ in range(ROUNDS):
         # one representative per bucket and component; buckets of one component are done
         placed = shared.select("key", "rep", "n_words").join(roots, F.col("rep") == F.col("v"), "left").select("key", "rep", "n_words", F.coalesce("root", "rep").alias("root"))
-        heads = common.cut(placed.groupBy("key", "root").agg(F.min(F.struct("rep", "n_words")).alias("h")).select("key", F.col("h.rep").alias("rep"), F.col("h.n_words").alias("n_words")))
-        sizes = common.cut(heads.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n_words")).alias("lead")).where("c > 1"))
-        small = heads.join(sizes.where(f"c <= {ALL_PAIRS}").select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("rep", "n_words")).alias("g"))
+        heads = placed.groupBy("key", "root").agg(F.min(F.struct("rep", "n_words")).alias("h")).select("key", F.col("h.rep").alias("rep"), F.col("h.n_words").alias("n_words"))
+        heads = common.cut(heads)
+        sizes = heads.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n_words")).alias("lead")).where("c > 1")
+        wide = heads.join(common.cut(sizes.select("key", "c", F.col("lead.rep").alias("lead"), F.col("lead.n_words").alias("lead_words"))), "key")
+        small = wide.where(f"c <= {ALL_PAIRS}").groupBy("key").agg(F.collect_list(F.struct("rep", "n_words")).alias("g"))
         pairs = small.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> x.rep < y.rep), y -> struct(x.rep as a, x.n_words as na, y.rep as b, y.n_words as nb))))")).alias("p")).select("p.*")
-        large = sizes.where(f"c > {ALL_PAIRS}").select("key", F.col("lead.rep").alias("lead"), F.col("lead.n_words").alias("lead_words"))
-        if not large.isEmpty():
-            wide = heads.join(large, "key")
-            star = wide.where("rep <> lead").select(F.col("lead").alias("a"), F.col("lead_words").alias("na"), F.col("rep").alias("b"), F.col("n_words").alias("nb"))
-            # neighbours in length: buckets of dissimilar texts are cut finely enough to be ordered in pieces
-            piece = Window.partitionBy("key", "piece").orderBy("n_words", "rep")
-            chain = wide.withColumn("piece", F.expr("floor(ln(greatest(n_words, 1)) * 50)")).withColumn("b", F.lead("rep").over(piece)).withColumn("nb", F.lead("n_words").over(piece)).where("b is not null")
-            chain = chain.select(F.least("rep", "b").alias("a"), F.col("n_words").alias("na"), F.greatest("rep", "b").alias("b"), "nb")
-            pairs = pairs.unionByName(star).unionByName(chain)
-        pairs = pairs.where(f"least(na, nb) >= {similarity} * greatest(na, nb)").select("a", "b").distinct()
+        large = wide.where(f"c > {ALL_PAIRS}")
+        star = large.where("rep <> lead").select(F.col("lead").alias("a"), F.col("lead_words").alias("na"), F.col("rep").alias("b"), F.col("n_words").alias("nb"))
+        # neighbours in length, in pieces of about the same length, so that no bucket is ordered in one task
+        piece = Window.partitionBy("key", "piece").orderBy("n_words", "rep")
+        chain = large.withColumn("piece", F.expr("floor(ln(greatest(n_words, 1)) * 50)")).withColumn("b", F.lead("rep").over(piece)).withColumn("nb", F.lead("n_words").over(piece)).where("b is not null")
+        chain = chain.select(F.least("rep", "b").alias("a"), F.col("n_words").alias("na"), F.greatest("rep", "b").alias("b"), "nb")
+        pairs = pairs.unionByName(star).unionByName(chain).where(f"least(na, nb) >= {similarity} * greatest(na, nb)").select("a", "b").distinct()
         fresh = common.cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        found = _verify(fresh, docs, similarity)
-        tried = common.cut(tried.unionByName(fresh))
-        if found.isEmpty():
+        found = None if fresh.isEmpty() else _verify(fresh, words, similarity)
+        if found is None or found.isEmpty():
             break
-        edges = edges.unionByName(found)
-        roots = components(edges)
+        tried = tried.unionByName(fresh)
+        # new links join whole components: they are contracted to their roots first
+        ra, rb = roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
+        lifted = found.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        over = components(lifted).select(F.col("v").alias("ov"), F.col("root").alias("oroot"))
+        merged = roots.join(over, F.col("root") == F.col("ov"), "left").select("v", F.coalesce("oroot", "root").alias("root"))
+        roots = common.cut(merged.unionByName(over.join(roots, F.col("ov") == F.col("v"), "left_anti").select(F.col("ov").alias("v"), F.col("oroot").alias("root"))))
     owner = members.select("same", "rep").join(roots, F.col("rep") == F.col("v"), "left").select(F.col("same").alias("owned"), F.coalesce("root", "rep").alias("class_id"))
     owner = common.cut(owner)
     out = sketched.join(owner, F.col("same") == F.col("owned")).select("id", "class_id", F.expr("id = class_id").alias("kept"))
