@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_LABELLED = 12_000
-MAX_UNLABELLED = 12_000
+MAX_LABELLED = 6_000
+MAX_UNLABELLED = 6_000
 ROUNDS = 3
 #: Calibrated probability from which a view is sure, for either class.
 SURE = 0.98
@@ -162,9 +162,9 @@ def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     def run(frames):
         for frame in frames:
             ms = list(zip(*[frame[c] for c in names], strict=True)) if names else [()] * len(frame)
-            yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "t": [text_features(t) for t in frame["text"]], "m": [meta_features(x) for x in ms]})
+            yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "t": [text_features(t).tobytes() for t in frame["text"]], "m": [meta_features(x).tobytes() for x in ms]})
 
-    out = rows.select("id", "label", "text", *names).mapInPandas(run, "id long, label double, t array<float>, m array<float>")
+    out = rows.select("id", "label", "text", *names).mapInPandas(run, "id long, label double, t binary, m binary")
     return out.toPandas().sort_values("id", kind="stable")
 
 
@@ -176,9 +176,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     held = np.array([zlib.crc32(f"{SEED}:{i}".encode()) % 4 == 0 for i in marked["id"]], dtype=bool)
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return None
-    stack = lambda frame, c, width: np.vstack(frame[c].to_list()) if len(frame) else np.empty((0, width))
-    text, more = stack(marked, "t", 0), stack(marked, "m", 0)
-    return co_train(text, more, y, held, stack(rest, "t", text.shape[1]), stack(rest, "m", more.shape[1]))
+    stack = lambda frame, c: np.frombuffer(b"".join(frame[c]), dtype=np.float32).reshape(len(frame), -1 if len(frame) else len(marked[c].iloc[0]) // 4)
+    return co_train(stack(marked, "t"), stack(marked, "m"), y, held, stack(rest, "t"), stack(rest, "m"))
 
 
 def scores(df: DataFrame, model: CoTrained | None, text_col: str = "text", meta: tuple[str, ...] = META) -> Column:
