@@ -55,10 +55,13 @@ def pack(chunks: DataFrame, max_block_bytes: int = MAX_BLOCK_BYTES, max_chunks:
         for frame in frames:
             block, ord_ = np.empty(len(frame), dtype=np.int64), np.empty(len(frame), dtype=np.int64)
             sizes = frame["chunk_size"].to_numpy()
-            same = (frame[ids] == frame[ids].shift()).all(axis=1).to_numpy()
-            cuts = [0, *(np.flatnonzero(~same[1:]) + 1).tolist(), len(frame)]
+            held = [frame[c].to_numpy() for c in ids]
+            moved = np.zeros(max(0, len(frame) - 1), dtype=bool)
+            for values in held:
+                moved |= values[1:] != values[:-1]
+            cuts = [0, *(np.flatnonzero(moved) + 1).tolist(), len(frame)]
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                own = tuple(frame[ids].iloc[low])
+                own = tuple(values[low] for values in held)
                 if own != last:
                     last, state = own, (0, 0, 0)
                 block[low:high], ord_[low:high], state = pack_run(sizes[low:high], limit, most, *state)
