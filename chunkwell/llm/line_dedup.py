@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SIMILARITY = 0.8
-#: Cells of the rarity table; one byte each travels in the plan.
+#: Cells of the rarity table; one small number each travels in the plan.
 CELLS = 1 << 17
 #: Rarest words of a line under which it first looks for a witness, and classes it is compared with there.
 FIRST_WORDS, WITNESSES = 4, 2
@@ -46,13 +46,13 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def rarity_table(docs: DataFrame, text_col: str) -> str:
-    """SQL text of a binary literal: for each hash cell 1 to 127, growing with how often its words occur."""
+    """SQL text of an array literal: for each hash cell 1 to 127, growing with how often its words occur."""
     words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), BLANKS.replace("[", "[\n", 1))).alias("w"))
     counts = words.groupBy(F.expr(f"cast(xxhash64(w) & {CELLS - 1}L as int)").alias("cell")).count().collect()  # at most CELLS rows
     levels = bytearray(b"\x01" * CELLS)
     for cell, n in counts:
         levels[cell] = max(1, min(127, int(4 * math.log2(n + 1))))
-    return f"unhex('{levels.hex()}')"
+    return f"cast(split('{','.join(map(str, levels))}', ',') as array<tinyint>)"
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -101,7 +101,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, simil
     wanted = pairs.select(F.col("a_id").alias("wid"), F.col("a_line").alias("wline")).unionByName(pairs.select(F.col("b_id").alias("wid"), F.col("b_line").alias("wline")))
     wanted = common.cut(wanted.distinct())
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    ids = common.cut(wanted.select(F.col("wid").alias("did")).distinct())
+    held = common.matched(docs, ids, docs[id_col].cast("long").eqNullSafe(ids["did"]), "left_semi")
+    lines = held.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     sets = common.matched(lines, wanted, lines["id"].eqNullSafe(wanted["wid"]) & (lines["line_no"] == wanted["wline"]), "inner").select("wid", "wline", F.array_distinct(F.array_remove(F.split("line", BLANKS), "")).alias("w"))
     sets = common.cut(sets.dropDuplicates(["wid", "wline"]))
     a, b = sets.select(F.col("wid").alias("i"), F.col("wline").alias("l"), F.col("w").alias("wa")), sets.select(F.col("wid").alias("j"), F.col("wline").alias("m"), F.col("w").alias("wb"))
@@ -114,7 +116,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(lines, removed): every line as (id, line_no, n, gone), and why the first lines of classes go:
     (a_id, a_line, b_id, b_line) with line a the earlier witness of line b."""
     table = rarity_table(docs, text_col)
-    keys = f"transform(transform(words, w -> xxhash64(w)), h -> shiftleft(cast(ascii(cast(substring({table}, cast(h & {CELLS - 1}L as int) + 1, 1) as string)) as bigint), 56) | (h & 72057594037927935L))"
+    keys = f"transform(transform(words, w -> xxhash64(w)), h -> shiftleft(cast(({table})[cast(h & {CELLS - 1}L as int)] as bigint), 56) | (h & 72057594037927935L))"
     lines = lines_of(docs, id_col, text_col).withColumn("k", F.expr(f"sort_array(array_distinct({keys}))"))
     lines = lines.withColumn("n", F.size("k"))
     prefix = f"slice(k, 1, cast(n - ceil({similarity} * n - 1e-9) + 1 as int))"
