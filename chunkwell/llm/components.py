@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _flatten(parents: DataFrame) -> DataFrame:
+#: Partitions of tables that are small enough to be broadcast.
+FEW = 8
+
+
+def _flatten(parents: DataFrame, small: bool) -> DataFrame:
     """Follow parents (v, p) to the roots by pointer doubling."""
     while True:
         upper = parents.select(F.col("v").alias("uv"), F.col("p").alias("up"))
-        jumped = common.cut(parents.join(upper, F.col("p") == F.col("uv"), "left").select("v", F.coalesce("up", "p").alias("q"), "p"))
+        jumped = common.cut(parents.join(F.broadcast(upper) if small else upper, F.col("p") == F.col("uv"), "left").select("v", F.coalesce("up", "p").alias("q"), "p"))
         parents = jumped.select("v", F.col("q").alias("p"))
         if jumped.where("q <> p").isEmpty():
             return parents
@@ -22,21 +26,25 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of edges (a, b); root is the smallest vertex of its component.
 
     Each round hooks every vertex to its smallest neighbour, flattens the trees and contracts the edges, so the
-    rounds grow with the logarithm of the vertices. A vertex with very many edges is split by the engine, since
-    every join reads two plain exchanges.
+    rounds grow with the logarithm of the vertices. While the edges are few enough (their number is checked) the
+    joins broadcast and tables are in few partitions; beyond, every join reads two plain exchanges, which the engine
+    splits where one vertex has very many edges.
     """
     left = common.cut(edges.where("a <> b").select("a", "b").distinct())
     known = None
-    while not left.isEmpty():
+    while n := left.count():
+        small = 2 * n <= common.BROADCAST_KEYS
+        held = F.broadcast if small else (lambda d: d)
+        few = (lambda d: d.coalesce(FEW)) if small else (lambda d: d)
         both = left.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("w")))
-        roots = _flatten(common.cut(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("p"))))
+        roots = _flatten(common.cut(few(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("p")))), small)
         if known is None:
             known = roots
         else:
-            upper = roots.select(F.col("v").alias("uv"), F.col("p").alias("up"))
+            upper = held(roots.select(F.col("v").alias("uv"), F.col("p").alias("up")))
             known = common.cut(known.join(upper, F.col("p") == F.col("uv"), "left").select("v", F.coalesce("up", "p").alias("p")))
-        ra, rb = roots.select(F.col("v").alias("a"), F.col("p").alias("pa")), roots.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        left = common.cut(left.join(ra, "a").join(rb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        ra, rb = held(roots.select(F.col("v").alias("a"), F.col("p").alias("pa"))), held(roots.select(F.col("v").alias("b"), F.col("p").alias("pb")))
+        left = common.cut(few(left.join(ra, "a").join(rb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()))
     if known is None:
         return left.select(F.col("a").alias("v"), F.col("b").alias("root"))
     return known.select("v", F.col("p").alias("root"))

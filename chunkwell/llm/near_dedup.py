@@ -210,11 +210,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     roots = components(_verify(tried, words, similarity))
     for _ in range(ROUNDS):
         # one representative per bucket and component; buckets of one component are done
-        placed = shared.select("key", "rep", "n_words").join(roots, F.col("rep") == F.col("v"), "left").select("key", "rep", "n_words", F.coalesce("root", "rep").alias("root"))
+        few = roots.count() <= common.BROADCAST_KEYS
+        placed = shared.select("key", "rep", "n_words").join(F.broadcast(roots) if few else roots, F.col("rep") == F.col("v"), "left").select("key", "rep", "n_words", F.coalesce("root", "rep").alias("root"))
         heads = placed.groupBy("key", "root").agg(F.min(F.struct("rep", "n_words")).alias("h")).select("key", F.col("h.rep").alias("rep"), F.col("h.n_words").alias("n_words"))
         heads = common.cut(heads)
         sizes = heads.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n_words")).alias("lead")).where("c > 1")
-        wide = heads.join(common.cut(sizes.select("key", "c", F.col("lead.rep").alias("lead"), F.col("lead.n_words").alias("lead_words"))), "key")
+        sizes = common.cut(sizes.select("key", "c", F.col("lead.rep").alias("lead"), F.col("lead.n_words").alias("lead_words")))
+        wide = common.cut(common.matched(heads, sizes, heads["key"] == sizes["key"], "inner").select(heads["key"], "rep", "n_words", "c", "lead", "lead_words"))
+        shared = wide
         small = wide.where(f"c <= {ALL_PAIRS}").groupBy("key").agg(F.collect_list(F.struct("rep", "n_words")).alias("g"))
         pairs = small.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> x.rep < y.rep), y -> struct(x.rep as a, x.n_words as na, y.rep as b, y.n_words as nb))))")).alias("p")).select("p.*")
         large = wide.where(f"c > {ALL_PAIRS}")
@@ -231,6 +234,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
         tried = tried.unionByName(fresh)
         # new links join whole components: they are contracted to their roots first
         ra, rb = roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
+        if few:
+            ra, rb = F.broadcast(ra), F.broadcast(rb)
         lifted = found.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         over = components(lifted).select(F.col("v").alias("ov"), F.col("root").alias("oroot"))
         merged = roots.join(over, F.col("root") == F.col("ov"), "left").select("v", F.coalesce("oroot", "root").alias("root"))
