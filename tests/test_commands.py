@@ -109,3 +109,19 @@ def test_hostile_paths_are_refused(spark, chain, tmp_path):
     (tmp_path / "bad.lvi").write_bytes(index.encode())
     with pytest.raises(c.CommandError):
         c.downsync(spark, [str(tmp_path / "bad.lvi")], str(chain / "store"), str(tmp_path / "t"))
+
+
+def test_index_files_as_tables(spark, chain):
+    from pyspark.sql import functions as F
+
+    from chunkwell.sources import index_files
+
+    assets = index_files.read_assets(spark, str(chain / "v1.lvi"))
+    assert {r.path for r in assets.collect()} == set(V1) | {"folder/"}
+    chunks = index_files.read_asset_chunks(spark, str(chain / "v1.lvi"))
+    sums = chunks.groupBy("asset_pos").agg(F.sum("chunk_size").alias("n")).join(assets, "asset_pos")
+    assert sums.where("n <> size").isEmpty() and sums.count() == sum(bool(x) for x in V1.values())
+    blocks = index_files.read_blocks(spark, str(chain / "store"), plain=True)
+    stored = index_files.read_block_chunks(spark, str(chain / "store")).select("block_hash").distinct()
+    assert blocks.count() == stored.count() == blocks.join(stored, "block_hash", "left_semi").count()
+    assert blocks.where("octet_length(payload) <> plain_bytes").isEmpty()
