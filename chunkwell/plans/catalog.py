@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import filters, formatting, hashing, paths
 from ..operators import chunking, diff, inspect, ordering, packing, plan
 from ..operators import store as stores
-from ..sources import codecs, configs
+from ..sources import blobs, codecs, configs, folder
 from . import tables as t
 
 _QUERIES: dict[str, Callable] = {}
@@ -612,3 +614,87 @@ def o92(spark, sf):
 @query("o93_build_version")
 def o93(spark, sf):
     return chunking.build_version(t.snapshot_files(spark, sf, 1), 1024)[0]
+
+
+# ---- codecs, files and chunker variants
+
+
+@query("o01_scan_folder")
+def o01(spark, sf):
+    return folder.scan_folder(spark, sf, include_filter=r"\.parquet")
+
+
+@query("o10_blob_list")
+def o10(spark, sf):
+    return spark.createDataFrame(blobs.Blobs(sf).list(), "name string, size long")
+
+
+@query("o03_version_index_codec", f"WITH {t.ORDERS_SQL} SELECT asset_pos, path, path_hash, content_hash, size, permissions FROM b2")
+def o03(spark, sf):
+    """Assets written as version indexes of a sixteenth each, and read back (O-03, O-04, O-83)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("asset_pos", kind="stable")
+        names = [p.encode() + b"\0" for p in frame["path"]]
+        n, nothing = len(frame), np.zeros(len(frame), "<u4")
+        index = codecs.VersionIndex(
+            hashing.BLAKE2S_ID,
+            1,
+            frame["path_hash"].to_numpy("<i8"),
+            frame["content_hash"].to_numpy("<i8"),
+            frame["size"].to_numpy("<u8"),
+            nothing,
+            nothing,
+            name_offsets=np.concatenate([[0], np.cumsum([len(x) for x in names])[:-1]]).astype("<u4"),
+            permissions=frame["permissions"].to_numpy("<u2"),
+            names=b"".join(names),
+        )
+        v = codecs.VersionIndex.decode(index.encode())
+        return pd.DataFrame({"asset_pos": frame["asset_pos"].to_numpy(), "path": [v.path(i) for i in range(n)], "path_hash": v.path_hashes, "content_hash": v.content_hashes, "size": v.sizes.astype("int64"), "permissions": v.permissions.astype("int32")})
+
+    assets = t.order_assets(spark, sf, 2)
+    return assets.groupBy(F.col("asset_pos") % 16).applyInPandas(run, "asset_pos long, path string, path_hash long, content_hash long, size long, permissions int")
+
+
+@query("o05_store_index_codec", f"WITH {t.STORE_SQL} SELECT block_pos, ord, block_hash, chunk_hash, chunk_size FROM s")
+def o05(spark, sf):
+    """Blocks written as store indexes of a sixteenth each, and read back (O-05, O-36, O-49)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["block_pos", "ord"], kind="stable")
+        blocks = [codecs.BlockIndex(int(g["block_hash"].iloc[0]), 3, 0, g["chunk_hash"].to_numpy("<i8"), g["chunk_size"].to_numpy("<u4")) for _, g in frame.groupby("block_pos")]
+        found = codecs.StoreIndex.decode(codecs.StoreIndex.of_blocks(blocks).encode()).blocks()
+        rows = [((b.block_hash - 1) // 7, i, b.block_hash, int(h), int(n)) for b in found for i, (h, n) in enumerate(zip(b.chunk_hashes, b.chunk_sizes, strict=True))]
+        return pd.DataFrame(rows, columns=["block_pos", "ord", "block_hash", "chunk_hash", "chunk_size"])
+
+    return t.store(spark, sf).groupBy(F.col("block_pos") % 16).applyInPandas(run, "block_pos long, ord long, block_hash long, chunk_hash long, chunk_size long")
+
+
+@query("o06_block_codec", "SELECT page_id, md5(html) AS md5 FROM pages")
+def o06(spark, sf):
+    """Each page's html as a stored block, compressed, written and read back (O-06, O-07)."""
+
+    @F.pandas_udf("binary")
+    def through(data: pd.Series) -> pd.Series:
+        def one(raw: bytes) -> bytes:
+            index = codecs.BlockIndex(1, 3, codecs.TAG_BY_NAME["zstd"], np.array([hashing.blake2s(raw)], "<i8"), np.array([len(raw)], "<u4"))
+            stored = codecs.StoredBlock(index, codecs.encode_payload(index.tag, raw))
+            return codecs.StoredBlock.decode(stored.encode()).plain()
+
+        return data.map(one)
+
+    return t.read(spark, sf, "pages").select("page_id", F.md5(through(F.encode("html", "UTF-8"))).alias("md5"))
+
+
+@query("o88_buffer_chunks")
+def o88(spark, sf):
+    pages = t.read(spark, sf, "pages").select(F.col("page_id").alias("asset_pos"), F.encode("html", "UTF-8").alias("data"))
+    return chunking.chunk_assets(pages, 1024, seed="buffer")
+
+
+@query("o50_index_from_blocks", "SELECT o_orderkey * 4294967311 AS block_hash FROM orders WHERE o_orderkey % 5 <> 0")
+def o50(spark, sf):
+    """Block files whose name is not their hash's are left out; the rest in unsigned order."""
+    h = F.col("o_orderkey") * 4294967311
+    listed = t.read(spark, sf, "orders").select(h.alias("block_hash"), F.when(F.col("o_orderkey") % 5 == 0, paths.block_path(h + 1)).otherwise(paths.block_path(h)).alias("name"))
+    return listed.where(F.col("name") == paths.block_path(F.col("block_hash"))).orderBy(hashing.unsigned_order(F.col("block_hash"))).select("block_hash")
