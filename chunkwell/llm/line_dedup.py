@@ -156,10 +156,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with the repeated lines taken out of the text; all rows and columns stay."""
     lines, _ = repeated_lines(docs, id_col, text_col, similarity)
-    gone = common.cut(lines.where("gone").groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_no").alias("__gone")))
-    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__id"]), "left")
-    kept = F.expr(f"if(__gone is null, `{text_col}`, array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(__gone, i)), '\\n'))")
-    return joined.select(*[kept.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns])
+    gone = common.cut(lines.where("gone").groupBy("id").agg(F.collect_set("line_no").alias("numbers")))
+    # the whole row is held as a struct, so that no column name can clash
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("t"))
+    joined = rows.join(gone, F.col("own").eqNullSafe(F.col("id")), "left")
+    kept = F.expr("if(numbers is null, t, array_join(filter(split(t, '\\n'), (x, i) -> not array_contains(numbers, i)), '\\n'))")
+    return joined.select(*[kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

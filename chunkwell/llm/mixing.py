@@ -95,7 +95,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     targets = [int(w * budget) for w in share]
     report = {"exponent": exponent, "sources": [{"source": r["__source"], "tokens": r.tokens, "weight": w, "target": t} for r, w, t in zip(per_source, share, targets, strict=True)]}
     kind = df.schema[source_col].dataType.simpleString()
-    asked = df.sparkSession.createDataFrame([(r["__source"], t // n if n else 1, t % n if n else 0) for r, n, t in zip(per_source, held, targets, strict=True)], f"s {kind}, passes long, rest long")
+    asked = df.sparkSession.createDataFrame([(r["__source"], t // n if n else 0, t % n if n else 0) for r, n, t in zip(per_source, held, targets, strict=True)], f"s {kind}, passes long, rest long")
     # the blocks of a source are taken in a permuted order of their own
     turn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("__source").cast("string"), F.lit("")), "__block"))
     so_far = Window.partitionBy("__source").orderBy("turn", "__block").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,22 +113,24 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
 
 
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
-    """df with ``__copies``, how often the plan takes the row; texts are not shuffled while the plan's table is small."""
+    """(id, source, copies, row) for every row of df: how often the plan takes it; row is the whole row as a struct,
+    so that no column name can clash. Texts are not shuffled while the plan's table is small."""
     table, blocks, _ = plan(df, id_col, text_col, source_col, seed=seed, **options)
-    dealt = _dealt(df, id_col, source_col, blocks, seed)
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    dealt = _dealt(rows, "id", "source", blocks, seed)
     held = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
     joined = dealt.join(held, dealt["__source"].eqNullSafe(table["ps"]) & (dealt["__block"] == table["pb"]))
     # hex digests sort before 'g' and after ''
-    return joined.withColumn("__copies", F.expr("passes + if(__draw <= take, 1, 0)")).select(*[dealt[f"`{c}`"] for c in df.columns], "__copies")
+    return joined.select("id", "source", F.expr("passes + if(__draw <= take, 1, 0)").alias("copies"), "row")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of df, each as often as the plan says, with all their columns."""
-    taken = copies(df, id_col, text_col, source_col, **options).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*[F.col(f"`{c}`") for c in df.columns])
+    taken = copies(df, id_col, text_col, source_col, **options).where("copies > 0")
+    return taken.select("row", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")
 
 
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: how often it is taken."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return copies(docs).select("doc_id", "source", F.col("__copies").alias("copies"))
+    return copies(docs).select(F.col("id").alias("doc_id"), "source", "copies")

@@ -407,7 +407,7 @@ def test_mixing_meets_its_targets(spark, monkeypatch):
             rows.append((i, prose(r, r.randint(1, 20)), s))
             i += 1
     df = docs_of(spark, rows)
-    table = {x.doc_id: x["__copies"] for x in mixing.copies(df).collect()}
+    table = {x.id: x.copies for x in mixing.copies(df).collect()}
     _, _, report = mixing.plan(df)
     tokens = {i: len(t.split()) for i, t, _ in rows}
     total = sum(tokens.values())
