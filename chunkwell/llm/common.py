@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 
@@ -32,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished rounds have left: Spark removes shuffle files, broadcasts and checkpoints only once the
+    driver's garbage collector finds that nothing refers to them. Called a few times in operators of many rounds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

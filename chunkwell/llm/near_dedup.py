@@ -207,8 +207,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     held = common.matched(docs, wanted, F.col("id") == F.col("want"), "left_semi")
     words = common.cut(held.mapInArrow(_hash_rows, "id long, words binary").dropDuplicates(["id"]))
     tried = common.cut(stars)
+    common.release(df.sparkSession)
     roots = components(_verify(tried, words, similarity))
     for _ in range(ROUNDS):
+        common.release(df.sparkSession)
         # one representative per bucket and component; buckets of one component are done
         few = roots.count() <= common.BROADCAST_KEYS
         placed = shared.select("key", "rep", "n_words").join(F.broadcast(roots) if few else roots, F.col("rep") == F.col("v"), "left").select("key", "rep", "n_words", F.coalesce("root", "rep").alias("root"))
