@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     left = common.cut(edges.where("a <> b").select("a", "b").distinct())
     known = None
     while n := left.count():
+        common.release(edges.sparkSession)
         small = 2 * n <= common.BROADCAST_KEYS
         held = F.broadcast if small else (lambda d: d)
         few = (lambda d: d.coalesce(FEW)) if small else (lambda d: d)

@@ -177,7 +177,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return None
     stack = lambda frame, c: np.frombuffer(b"".join(frame[c]), dtype=np.float32).reshape(len(frame), -1 if len(frame) else len(marked[c].iloc[0]) // 4)
-    return co_train(stack(marked, "t"), stack(marked, "m"), y, held, stack(rest, "t"), stack(rest, "m"))
+    model = co_train(stack(marked, "t"), stack(marked, "m"), y, held, stack(rest, "t"), stack(rest, "m"))
+    del found, marked, rest
+    common.release(df.sparkSession)  # the sample is the most that this operator holds on the driver
+    return model
 
 
 def scores(df: DataFrame, model: CoTrained | None, text_col: str = "text", meta: tuple[str, ...] = META) -> Column:
