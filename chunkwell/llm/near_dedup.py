@@ -7,8 +7,11 @@ back into text order; that ordered pair is one band, so both shared content and
 Texts of equal words are one member from the start. Bands shared by several members are compared star-wise with
 the smallest member; a pair is a link if the banded edit distance of the word sequences is at most a fifth of the
 longer one (similarity of 0.8 or more). Buckets whose members are still in several components are compared again
-by one representative per component: all pairs of up to 16, a star and a chain of neighbours beyond, until a
-round links nothing new. So no bucket emits its square, and no member is left out.
+by one representative per component: all pairs of up to 16, a star and a chain of neighbours beyond. These rounds
+only save work. At the end every pair of a bucket that is still in two components is decided: in buckets of up to
+16 members each pair is tried, in larger ones each pair that shares a word pair among the rarest ones of both texts
+(a prefix filter, which no two similar texts fail). So no link within a bucket is lost, and a frequent passage
+does not make its bucket emit its square.
 
 Results for the unusual cases: null, blank and word-less texts are equal to each other; texts of under five words
 are one k-mer; of every class the smallest doc_id stays; rows that repeat a doc_id are one document; an empty
@@ -31,9 +34,12 @@ from .components import components
 KGRAM = 5
 SKETCHES = 24
 SIMILARITY = 0.8
-#: Representatives of one bucket that are compared each with each.
+#: Representatives or members of one bucket that are compared each with each.
 ALL_PAIRS = 16
+#: Rounds by representatives at most; they only save work.
 ROUNDS = 8
+#: Hash cells of the counts that order word pairs by rarity, as a power of two; any order is exact.
+CELL_BITS = 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -82,11 +88,8 @@ def word_hashes(data: bytes) -> np.ndarray:
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 
-def sketch(words: np.ndarray, kgram: int = KGRAM, sketches: int = SKETCHES) -> np.ndarray:
-    """One band key per hash function."""
-    if not len(words):
-        return np.empty(0, dtype=np.int64)
-    k = min(kgram, len(words))
+def labelled(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words and its occurrence number."""
     n = len(words) - k + 1
     grams = np.zeros(n, dtype=np.uint64)
     for j in range(k):
@@ -97,7 +100,15 @@ def sketch(words: np.ndarray, kgram: int = KGRAM, sketches: int = SKETCHES) -> n
     at = np.arange(n)
     occurrence = np.empty(n, dtype=np.uint64)
     occurrence[order] = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
-    labels = _mix(grams + occurrence * _ODD)
+    return _mix(grams + occurrence * _ODD)
+
+
+def sketch(words: np.ndarray, kgram: int = KGRAM, sketches: int = SKETCHES) -> np.ndarray:
+    """One band key per hash function."""
+    if not len(words):
+        return np.empty(0, dtype=np.int64)
+    labels = labelled(words, min(kgram, len(words)))
+    n = len(labels)
     low, high = np.zeros(sketches, dtype=np.int64), np.zeros(sketches, dtype=np.int64)
     seeds = _seeds(sketches)
     for i in range(sketches):
@@ -160,6 +171,9 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     longest = max(len(a), len(b))
     most = int((1 - similarity) * longest + 1e-9)
+    _, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if np.minimum(np.bincount(at[: len(a)], minlength=len(at)), np.bincount(at[len(a) :], minlength=len(at))).sum() < longest - most:
+        return False  # each word of the longer one that the other lacks is an edit
     return banded_distance(a.tolist(), b.tolist(), most) <= most
 
 
@@ -193,6 +207,104 @@ def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return common.cut(pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(_verifier(similarity), "a long, b long"))
 
 
+def prefix_gram(similarity: float) -> int:
+    """Words of a gram of the prefix filter: the longest for which similar texts surely share one."""
+    return 2 if similarity >= 0.75 else 1
+
+
+def least_shared(longest: np.ndarray, similarity: float) -> np.ndarray:
+    """Grams that two similar texts share at least, by the longer one's words: an edit takes away at most k of them."""
+    k = prefix_gram(similarity)
+    return longest - k + 1 - k * ((1 - similarity) * longest + 1e-9).astype(np.int64)
+
+
+def prefix(words: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest grams of a text, as many as make any similar text share one of them, rarest first."""
+    k, n = prefix_gram(similarity), len(words)
+    if n < k:
+        return np.empty(0, dtype=np.uint64)
+    labels = labelled(words, k)
+    shared = int(least_shared(np.arange(n, int(n / similarity) + 2), similarity).min())
+    order = np.lexsort((labels, counts[labels >> np.uint64(64 - CELL_BITS)]))
+    return labels[order[: len(labels) - max(1, shared) + 1]]
+
+
+def _words_of(cell) -> np.ndarray:
+    return np.frombuffer(cell.as_py(), dtype=np.uint32).astype(np.uint64)
+
+
+def _prefixes(members: DataFrame, similarity: float) -> DataFrame:
+    """(id, n, at, gram): the prefix of each of members (id, words), at being the gram's place in it."""
+    k = prefix_gram(similarity)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        for batch in batches:
+            for cell in batch.column(1):
+                words = _words_of(cell)
+                if len(words) >= k:
+                    total += np.bincount((labelled(words, k) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "c"])
+
+    found = members.select("id", "words").mapInArrow(count, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # at most 2**CELL_BITS rows
+    counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
+    counts[found["cell"].to_numpy()] = found["c"].to_numpy()
+    held = members.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 256):
+                part = batch.slice(low, 256)
+                words = [_words_of(x) for x in part.column(1)]
+                grams = [prefix(w, held.value, similarity) for w in words]
+                sizes = np.array([len(g) for g in grams])
+                ids = np.repeat(np.array(part.column(0).to_pylist(), dtype=np.int64), sizes)
+                places = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
+                lengths = np.repeat(np.array([len(w) for w in words], dtype=np.int32), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lengths), pa.array(places), pa.array(np.concatenate(grams).view(np.int64))], ["id", "n", "at", "gram"])
+
+    return members.select("id", "words").mapInArrow(run, "id long, n int, at int, gram long")
+
+
+def _undecided(met: DataFrame, roots: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs in the buckets met (key, rep, n_words) that may be similar and lie in two components."""
+    few = roots.count() <= common.BROADCAST_KEYS
+    placed = common.cut(met.join(F.broadcast(roots) if few else roots, F.col("rep") == F.col("v"), "left").select("key", "rep", "n_words", F.coalesce("root", "rep").alias("root")))
+    split = common.cut(placed.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"), "c"))
+    left = common.cut(common.matched(placed, split, F.col("key") == F.col("k"), "inner").select("key", "rep", "n_words", "root", "c"))
+    small = left.where(f"c <= {ALL_PAIRS}").groupBy("key").agg(F.collect_list(F.struct("rep", "n_words", "root")).alias("g"))
+    pairs = small.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> x.rep < y.rep and x.root <> y.root), y -> struct(x.rep as a, x.n_words as na, y.rep as b, y.n_words as nb))))")).alias("p")).select("p.*")
+    pairs = pairs.where(f"least(na, nb) >= {similarity} * greatest(na, nb)").select("a", "b")
+    many = common.cut(left.where(f"c > {ALL_PAIRS}").select("rep", F.col("root").alias("r")).distinct())
+    if many.isEmpty():
+        return pairs.distinct()
+    k = prefix_gram(similarity)
+    grams = _prefixes(common.matched(words, many, F.col("id") == F.col("rep"), "left_semi"), similarity)
+    grams = common.cut(common.matched(grams, many, F.col("id") == F.col("rep"), "inner").select("id", "r", "n", "at", "gram"))
+    # a gram of one component only has no pair to try
+    again = common.cut(grams.groupBy("gram").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(F.col("gram").alias("g")))
+    grams = common.cut(common.matched(grams, again, F.col("gram") == F.col("g"), "left_semi"))
+    one, two = (grams.select("gram", *[F.col(c).alias(f"{c}{i}") for c in ("id", "r", "n", "at")]) for i in (1, 2))
+    # the first gram that two texts share leaves them enough others after it
+    longest = "greatest(n1, n2)"
+    needed = f"{longest} - {k - 1} - {k} * cast(floor({1 - similarity} * {longest} + 1e-9) as int)"
+    near = f"id1 < id2 and r1 <> r2 and least(n1, n2) >= {similarity} * {longest} and least(n1 - at1, n2 - at2) - {k - 1} >= {needed}"
+    return pairs.unionByName(one.join(two, "gram").where(near).select(F.col("id1").alias("a"), F.col("id2").alias("b"))).distinct()
+
+
+def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """roots (v, root) after the links found: these join whole components and are contracted to their roots first."""
+    few = roots.count() <= common.BROADCAST_KEYS
+    ra, rb = roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
+    if few:
+        ra, rb = F.broadcast(ra), F.broadcast(rb)
+    lifted = found.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    over = components(lifted).select(F.col("v").alias("ov"), F.col("root").alias("oroot"))
+    merged = roots.join(over, F.col("root") == F.col("ov"), "left").select("v", F.coalesce("oroot", "root").alias("root"))
+    return common.cut(merged.unionByName(over.join(roots, F.col("ov") == F.col("v"), "left_anti").select(F.col("ov").alias("v"), F.col("oroot").alias("root"))))
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of df: id, class_id (smallest id of its class), kept."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -201,6 +313,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     bands = members.select("rep", "n_words", F.explode("keys").alias("key"))
     buckets = common.cut(bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n_words")).alias("lead")).where("c > 1").select("key", F.col("lead.rep").alias("lead"), F.col("lead.n_words").alias("lead_words")))
     shared = common.cut(bands.join(buckets, "key").select("key", "rep", "n_words", "lead", "lead_words"))
+    met = shared.select("key", "rep", "n_words")
     near = f"least(n_words, lead_words) >= {similarity} * greatest(n_words, lead_words)"
     stars = shared.where("rep <> lead").where(near).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     common.release(df.sparkSession)
@@ -235,14 +348,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
         if found is None or found.isEmpty():
             break
         tried = tried.unionByName(fresh)
-        # new links join whole components: they are contracted to their roots first
-        ra, rb = roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
-        if few:
-            ra, rb = F.broadcast(ra), F.broadcast(rb)
-        lifted = found.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        over = components(lifted).select(F.col("v").alias("ov"), F.col("root").alias("oroot"))
-        merged = roots.join(over, F.col("root") == F.col("ov"), "left").select("v", F.coalesce("oroot", "root").alias("root"))
-        roots = common.cut(merged.unionByName(over.join(roots, F.col("ov") == F.col("v"), "left_anti").select(F.col("ov").alias("v"), F.col("oroot").alias("root"))))
+        roots = _merged(roots, found)
+    common.release(df.sparkSession)
+    fresh = common.cut(_undecided(met, roots, words, similarity).join(tried, ["a", "b"], "left_anti"))
+    if not fresh.isEmpty():
+        roots = _merged(roots, _verify(fresh, words, similarity))
     common.release(df.sparkSession)
     owner = members.select("same", "rep").join(roots, F.col("rep") == F.col("v"), "left").select(F.col("same").alias("owned"), F.coalesce("root", "rep").alias("class_id"))
     owner = common.cut(owner)

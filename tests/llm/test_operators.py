@@ -111,6 +111,50 @@ def test_near_dedup_against_brute_force(spark):
     assert found == {i: root(i) for i in range(len(texts))}
 
 
+def near_classes(spark, texts):
+    return len({x.class_id for x in near_dedup.classes(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()})
+
+
+def all_pairs_classes(texts):
+    words = [near_dedup.word_hashes(near_dedup.normal(t)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and near_dedup.similar(words[i], words[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    return len(set(root))
+
+
+def edited(r, text, share):
+    words = text.split()
+    for at in r.sample(range(len(words)), round(share * len(words))):
+        words[at] = r.choice(VOCAB)
+    return " ".join(words)
+
+
+def test_near_dedup_pairs_with_one_shared_passage(spark):
+    r = random.Random(21)
+    passage, texts = prose(r, 150), []
+    for _ in range(100):
+        text = passage + " " + prose(r, 50)
+        texts += [text, edited(r, text, 0.1)]
+    order = r.sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    assert near_classes(spark, texts) == all_pairs_classes(texts)
+
+
+def test_prefixes_of_similar_texts_meet():
+    r, counts = random.Random(5), np.zeros(1 << near_dedup.CELL_BITS, dtype=np.int64)
+    for n in [2, 3, 4, 5, 6, 9, 10, 11, 40, 200] * 20:
+        text = prose(r, n)
+        other = edited(r, text, 0.2 * r.random()).split()
+        for _ in range(r.randint(0, n // 10)):
+            other.insert(r.randint(0, len(other)), r.choice(VOCAB))
+        one, two = (near_dedup.word_hashes(near_dedup.normal(t)) for t in (text, " ".join(other)))
+        if near_dedup.similar(one, two):
+            assert set(near_dedup.prefix(one, counts, 0.8).tolist()) & set(near_dedup.prefix(two, counts, 0.8).tolist())
+
+
 def test_near_dedup_cases(messy):
     rows = {r.doc_id: r for r in near_dedup.classes(messy).collect()}
     assert len(rows) == 8
