@@ -143,6 +143,18 @@ def test_near_dedup_pairs_with_one_shared_passage(spark):
     assert near_classes(spark, texts) == all_pairs_classes(texts)
 
 
+def test_near_dedup_chains_that_drift(spark):
+    r, rows = random.Random(22), []
+    for group in range(12):
+        chain = [prose(r, 300).split()]
+        for step in range(3):
+            chain.append(chain[-1][: 33 * step] + prose(r, 33).split() + chain[-1][33 * step + 33 :])
+        # the ends have the smallest ids of every bucket, only the middle links the halves
+        rows += [(4 * group + i, " ".join(chain[at]), "s") for i, at in enumerate((0, 3, 1, 2))]
+    found = {x.doc_id: x.class_id for x in near_dedup.classes(docs_of(spark, rows)).collect()}
+    assert found == {i: i // 4 * 4 for i in range(48)}
+
+
 def test_prefixes_of_similar_texts_meet():
     r, counts = random.Random(5), np.zeros(1 << near_dedup.CELL_BITS, dtype=np.int64)
     for n in [2, 3, 4, 5, 6, 9, 10, 11, 40, 200] * 20:
