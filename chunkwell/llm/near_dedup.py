@@ -3,6 +3,8 @@
 A text is its sequence of lower-cased words. Every run of five words is a k-mer, labelled with its occurrence
 number so that repeats count. For each of 24 hash functions the two smallest labelled k-mers are taken and put
 back into text order; that ordered pair is one band, so both shared content and its order make texts meet.
+A pair at the threshold shares few k-mers and may miss all those bands, so the smallest run of four words under
+each hash function is a band of a second family.
 
 Texts of equal words are one member from the start. Bands shared by several members are compared star-wise with
 the smallest member; a pair is a link if the banded edit distance of the word sequences is at most a fifth of the
@@ -33,6 +35,8 @@ from .components import components
 
 KGRAM = 5
 SKETCHES = 24
+#: Words of a run in the second family of bands.
+SHORT_KGRAM = 4
 SIMILARITY = 0.8
 #: Representatives or members of one bucket that are compared each with each.
 ALL_PAIRS = 16
@@ -123,6 +127,24 @@ def sketch(words: np.ndarray, kgram: int = KGRAM, sketches: int = SKETCHES) -> n
     return _mix(labels[low] * np.uint64(0xD6E8FEB86659FD93) + labels[high] + seeds).view(np.int64)
 
 
+def minima(words: np.ndarray, kgram: int = SHORT_KGRAM, sketches: int = SKETCHES) -> np.ndarray:
+    """The second family: one band key per hash function, of its smallest labelled k-mer alone."""
+    if not len(words):
+        return np.empty(0, dtype=np.int64)
+    labels, seeds = labelled(words, min(kgram, len(words))), _seeds(2 * sketches)[sketches:]
+    out = np.empty(sketches, dtype=np.uint64)
+    for i in range(sketches):
+        drawn = labels * seeds[i]
+        drawn ^= drawn >> np.uint64(32)
+        drawn *= _ODD
+        out[i] = labels[drawn.argmin()]
+    return _mix(out + seeds).view(np.int64)
+
+
+def bands(words: np.ndarray) -> list[int]:
+    return sketch(words).tolist() + minima(words).tolist()
+
+
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else most + 1.
 
@@ -183,7 +205,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1):
             data = normal(text.as_py())
             words = word_hashes(data)
-            rows.append((hashlib.blake2b(b" ".join(data.split()), digest_size=16).digest(), len(words), sketch(words).tolist()))
+            rows.append((hashlib.blake2b(b" ".join(data.split()), digest_size=16).digest(), len(words), bands(words)))
         yield pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["id", "same", "n_words", "keys"])
 
 
@@ -273,6 +295,7 @@ def _undecided(met: DataFrame, roots: DataFrame, words: DataFrame, similarity: f
     placed = common.cut(met.join(F.broadcast(roots) if few else roots, F.col("rep") == F.col("v"), "left").select("key", "rep", "n_words", F.coalesce("root", "rep").alias("root")))
     split = common.cut(placed.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"), "c"))
     left = common.cut(common.matched(placed, split, F.col("key") == F.col("k"), "inner").select("key", "rep", "n_words", "root", "c"))
+    common.release(met.sparkSession)
     small = left.where(f"c <= {ALL_PAIRS}").groupBy("key").agg(F.collect_list(F.struct("rep", "n_words", "root")).alias("g"))
     pairs = small.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> x.rep < y.rep and x.root <> y.root), y -> struct(x.rep as a, x.n_words as na, y.rep as b, y.n_words as nb))))")).alias("p")).select("p.*")
     pairs = pairs.where(f"least(na, nb) >= {similarity} * greatest(na, nb)").select("a", "b")
@@ -282,9 +305,12 @@ def _undecided(met: DataFrame, roots: DataFrame, words: DataFrame, similarity: f
     k = prefix_gram(similarity)
     grams = _prefixes(common.matched(words, many, F.col("id") == F.col("rep"), "left_semi"), similarity)
     grams = common.cut(common.matched(grams, many, F.col("id") == F.col("rep"), "inner").select("id", "r", "n", "at", "gram"))
+    common.release(met.sparkSession)
     # a gram of one component only has no pair to try
     again = common.cut(grams.groupBy("gram").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(F.col("gram").alias("g")))
     grams = common.cut(common.matched(grams, again, F.col("gram") == F.col("g"), "left_semi"))
+    del again
+    common.release(met.sparkSession)
     one, two = (grams.select("gram", *[F.col(c).alias(f"{c}{i}") for c in ("id", "r", "n", "at")]) for i in (1, 2))
     # the first gram that two texts share leaves them enough others after it
     longest = "greatest(n1, n2)"
@@ -310,9 +336,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = common.cut(docs.where("id is not null").mapInArrow(_sketch_rows, "id long, same binary, n_words long, keys array<long>"))
     members = common.cut(sketched.groupBy("same").agg(F.min(F.struct("id", "n_words", "keys")).alias("m")).select(F.col("same"), F.col("m.id").alias("rep"), F.col("m.n_words").alias("n_words"), F.col("m.keys").alias("keys")))
-    bands = members.select("rep", "n_words", F.explode("keys").alias("key"))
-    buckets = common.cut(bands.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n_words")).alias("lead")).where("c > 1").select("key", F.col("lead.rep").alias("lead"), F.col("lead.n_words").alias("lead_words")))
-    shared = common.cut(bands.join(buckets, "key").select("key", "rep", "n_words", "lead", "lead_words"))
+    banded = members.select("rep", "n_words", F.explode("keys").alias("key"))
+    buckets = common.cut(banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n_words")).alias("lead")).where("c > 1").select("key", F.col("lead.rep").alias("lead"), F.col("lead.n_words").alias("lead_words")))
+    shared = common.cut(banded.join(buckets, "key").select("key", "rep", "n_words", "lead", "lead_words"))
     met = shared.select("key", "rep", "n_words")
     near = f"least(n_words, lead_words) >= {similarity} * greatest(n_words, lead_words)"
     stars = shared.where("rep <> lead").where(near).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()

@@ -155,6 +155,15 @@ def test_near_dedup_chains_that_drift(spark):
     assert found == {i: i // 4 * 4 for i in range(48)}
 
 
+def test_near_dedup_finds_pairs_at_the_threshold(spark):
+    r, rows = random.Random(23), []
+    for i in range(60):
+        text = prose(r, (50, 200, 500)[i % 3])
+        rows += [(2 * i, text, "s"), (2 * i + 1, edited(r, text, (0.15, 0.18, 0.2)[i // 3 % 3]), "s")]
+    found = {x.doc_id: x.class_id for x in near_dedup.classes(docs_of(spark, rows)).collect()}
+    assert sum(found[2 * i + 1] == 2 * i for i in range(60)) >= 59
+
+
 def test_prefixes_of_similar_texts_meet():
     r, counts = random.Random(5), np.zeros(1 << near_dedup.CELL_BITS, dtype=np.int64)
     for n in [2, 3, 4, 5, 6, 9, 10, 11, 40, 200] * 20:
