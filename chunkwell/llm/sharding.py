@@ -56,10 +56,13 @@ def interleave(df: DataFrame, source: str, order: list[str], draw: str, rows: in
     return ranked(dealt, ["__all"], "__b", ["__f", source, draw, *order], "place").drop("__b", "__f", "__rank", "__size", "__all")
 
 
-def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per row of df: id, source, size, text_crc32, law, shard, slot, grown_shard."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("crc"))
+def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The rows of df with all their columns, and shard and slot (which replace columns of these names)."""
+    held = [c for c in df.columns if c not in ("shard", "slot")]
+    # rows that repeat an id are told apart by their number in the written table
+    packed = common.cut(df.select(F.struct(*[F.col(f"`{c}`") for c in held]).alias("row"), F.monotonically_increasing_id().alias("at")))
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    rows = packed.select("at", F.col("row")[id_col].alias("id"), F.col("row")[source_col].alias("source"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("crc"))
     rows = common.cut(rows.withColumn("draw", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit(""))))))
     n = rows.count()
     placed = interleave(rows, "source", ["id", "size", "crc"], "draw", n)
@@ -69,7 +72,15 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     first, rest = f"place div {small + 1}", f"{more} + (place - {cut_at}) div {max(1, small)}"
     shard_of = f"cast(if(place < {cut_at}, {first}, {rest}) as int)"
     slot = f"cast(if(place < {cut_at}, place % {small + 1}, (place - {cut_at}) % {max(1, small)}) as long)"
-    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), F.expr(shard_of).alias("shard"), F.expr(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    placed = placed.select("at", F.expr(shard_of).alias("shard"), F.expr(slot).alias("slot"))
+    return packed.join(placed, "at").select("row.*", "shard", "slot")
+
+
+def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """A digest of shard_rows: id, source, size, text_crc32, law, shard, slot, grown_shard."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = shard_rows(df, id_col, text_col, source_col, shards, seed)
+    return rows.select(id_col, source_col, (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return
-the columns of ``documents``; the last adds each row's shard.
+the columns of ``documents``; the last adds each row's shard and slot.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row gets a shard and its slot there."""
-    return sharding.shard(docs)
+    return sharding.shard_rows(docs)
 
 
 STAGES = [

@@ -352,6 +352,18 @@ def test_shards_are_even_and_mixed(spark):
     assert sharding.shard(empty(df)).count() == 0
 
 
+def test_shard_rows_keep_every_column(spark, messy):
+    import corpus_pipeline
+
+    out = corpus_pipeline.sharding_stage(spark, messy.unionByName(messy), "")
+    assert out.columns == [*messy.columns, "shard", "slot"]
+    rows = Counter(tuple(x)[:-2] for x in out.collect())
+    assert rows == Counter({k: 2 * n for k, n in Counter(map(tuple, messy.collect())).items()})
+    # rows that share an id keep their own texts
+    twice = docs_of(spark, [(1, "a", "s"), (1, "b", "s"), (None, "c", "s"), (None, "d", None)])
+    assert sorted(x.text for x in sharding.shard_rows(twice).collect()) == ["a", "b", "c", "d"]
+
+
 def test_shards_against_a_plain_sort(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 40)
     rows = [(i, "x", f"s{i % 3 if i % 2 else 0}") for i in range(500)]
