@@ -364,12 +364,21 @@ w AS (
   FROM w JOIN c ON c.grp = w.grp AND c.pos = w.pos + 1)"""
 
 
-@query("o31_pack_blocks", f"{_PACK} SELECT grp, min(pos) AS first_pos, count(*) AS chunks, CAST(sum(chunk_size) AS BIGINT) AS bytes FROM w GROUP BY grp, block")
-def o31(spark, sf):
+def _packed(items):
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    items = t.read(spark, sf, "lineitem").where("l_quantity > 40 or l_returnflag <> 'N'")
     chunks = items.select(F.col("l_suppkey").alias("grp"), (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("l_partkey").alias("chunk_hash"), F.col("l_quantity").cast("long").alias("chunk_size"), F.expr("case l_returnflag when 'A' then 1 when 'N' then 2 else 3 end").alias("chunk_tag"))
-    packed = packing.pack(chunks, 200, 8, group="grp")
+    return packing.pack(chunks, 200, 8, group="grp")
+
+
+@query("o31_pack_blocks", f"{_PACK} SELECT grp, min(pos) AS first_pos, count(*) AS chunks, CAST(sum(chunk_size) AS BIGINT) AS bytes FROM w GROUP BY grp, block")
+def o31(spark, sf):
+    packed = _packed(t.read(spark, sf, "lineitem").where("l_quantity > 40 or l_returnflag <> 'N'"))
+    return packed.groupBy("grp", "run", "block").agg(F.min("pos").alias("first_pos"), F.count("*").alias("chunks"), F.sum("chunk_size").alias("bytes")).drop("run", "block")
+
+
+@query("o31_pack_all_blocks")
+def o31_all(spark, sf):
+    packed = _packed(t.read(spark, sf, "lineitem"))
     return packed.groupBy("grp", "run", "block").agg(F.min("pos").alias("first_pos"), F.count("*").alias("chunks"), F.sum("chunk_size").alias("bytes")).drop("run", "block")
 
 

@@ -41,6 +41,22 @@ def test_query(spark, duck, name):
         assert rows
 
 
+def test_all_blocks_are_packed_as_by_a_plain_loop(spark):
+    items = sorted((r.l_suppkey, r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_quantity, r.l_extendedprice, r.l_returnflag) for r in tables.read(spark, SF, "lineitem").collect())
+    blocks, last, pos = [], None, 0
+    for item in items:
+        grp, size, tag = item[0], int(item[4]), item[6]
+        pos = pos + 1 if blocks and blocks[-1][0] == grp else 0
+        if last != (grp, tag) or blocks[-1][2] == 8 or blocks[-1][3] + size > 220:
+            blocks.append([grp, pos, 0, 0])
+        blocks[-1][2] += 1
+        blocks[-1][3] += size
+        last = (grp, tag)
+    out = catalog.queries()["o31_pack_all_blocks"](spark, SF).collect()
+    assert sum(r.chunks for r in out) == len(items)
+    assert sorted([r.grp, r.first_pos, r.chunks, r.bytes] for r in out) == sorted(blocks)
+
+
 def test_diff_with_itself_is_empty(spark):
     assets = tables.order_assets(spark, SF, 1)
     assert diff.version_diff(assets, assets).isEmpty()
