@@ -81,3 +81,10 @@ def drop_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     gone = cut(ids.select(F.col(key).alias("__gone")).where("__gone is not null").distinct())
     return matched(df, gone, df[f"`{key}`"] == gone["__gone"], "left_anti")
+
+
+def one_per_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df with one row of those that agree in id and text; a null id is never another's, and null text is empty."""
+    text = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
+    known = df.where(F.col(f"`{id_col}`").isNotNull()).withColumn("__text_sha", text).dropDuplicates([id_col, "__text_sha"]).drop("__text_sha")
+    return known.union(df.where(F.col(f"`{id_col}`").isNull()))

@@ -89,7 +89,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with all their columns."""
     gone = exact_dedup(df, id_col, text_col).where("not kept").select(id_col)
-    return common.drop_ids(df, gone, id_col).dropDuplicates([id_col])
+    return common.one_per_text(common.drop_ids(df, gone, id_col), id_col, text_col)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

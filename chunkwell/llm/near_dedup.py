@@ -392,7 +392,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     found = classes(df, id_col, text_col, similarity)
     stay = common.drop_ids(df, found.where("not kept").select(id_col), id_col)
     repeated = found.where("kept").groupBy(id_col).count().where(f"count > 1 and `{id_col}` is not null").isEmpty()
-    return stay if repeated else stay.dropDuplicates([id_col])
+    return stay if repeated else common.one_per_text(stay, id_col, text_col)
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,15 @@ def test_near_dedup_against_brute_force(spark):
     assert found == {i: root(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("operator", [exact_dedup, near_dedup])
+def test_dedup_keeps_null_ids_and_clashing_texts(spark, operator):
+    r = random.Random(24)
+    texts = [prose(r, 40) for _ in range(4)]
+    rows = [(None, texts[0], "s"), (None, texts[1], "s"), (1, texts[2], "s"), (1, texts[3], "s"), (2, "x", "s"), (2, "x", "s")]
+    out = operator.deduplicate(docs_of(spark, rows))
+    assert sorted(x.text for x in out.collect()) == sorted([*texts, "x"])
+
+
 def near_classes(spark, texts):
     return len({x.class_id for x in near_dedup.classes(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()})
 
