@@ -74,6 +74,23 @@ def matched(df: DataFrame, keys: DataFrame, on: Column, how: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df as (key, row): row is the whole row as a struct, so that no column name can clash, and key a number of its own.
+
+    Keys are the ids if these are integers, unique and not null. Else rows are numbered in the order of id (nulls
+    first) and text digest and written to the shared folder, so that a row keeps its number.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    own = F.col(f"`{id_col}`")
+    if df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        n, known, several = df.agg(F.count("*"), F.count(own), F.count_distinct(own)).first()
+        if n == known == several:
+            return df.select(own.cast("long").alias("key"), row)
+    # equal rows differ in the last number, so that many of them are no single range
+    packed = df.select(row, own.alias("own"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("told"), F.monotonically_increasing_id().alias("at"))
+    return cut(packed.sort("own", "told", "at").select("row")).select(F.monotonically_increasing_id().alias("key"), "row")
+
+
 def drop_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of df whose key is not in ids (one column of that name, nulls ignored).
 

@@ -1,20 +1,24 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its blank-separated words. Lines of equal sets are one class, represented by their first
-line (by doc_id, then line number). Words are ordered by rarity: their occurrences are counted in a table of fixed
-size by hash, so that the order is one global order without a join per word; rare words come first. For a Jaccard
-similarity of 0.8 two sets must share a word within their prefixes of n - ceil(0.8 n) + 1 words; classes meet on
-those words, and pairs pass the length filter, the positional filter and a parity-signature filter (none drops a
-true pair) before the exact Jaccard of the words themselves is computed. A line goes if an earlier line has a
-similarity of 0.8 or more with it.
-
-One witness is enough for a line to go, so the classes are first compared with the earliest two classes under
-their rarest words; those that find a witness there are not compared again. Groups of near copies therefore cost
-their size, not its square, and only lines still without a witness meet all earlier lines under their prefix words.
+line (by doc_id, then line number). Words are ordered by rarity, rarest first: their occurrences in all documents
+are counted in a table of fixed size by hash, so that the order is one global order without a join per word; words
+that the table cannot tell from its cells' average are ordered by length, the longer first. Two sets of a Jaccard
+similarity of 0.8 or more share a word within their prefixes (the shorter set needs the shorter prefix), and sets of
+that similarity are of about one size. Classes therefore meet on (word, size range): each files its short prefix under
+its own size range and looks up its long prefix under every range that a smaller partner can be in. Pairs pass the
+length filter, the positional filter and a parity-signature filter (none drops a true pair), then a wider parity
+signature, and the exact Jaccard of the words themselves. A line goes if an earlier line has a similarity of 0.8 or
+more with it.
+
+One witness is enough for a line to go, so each class is first compared with the earliest class under a few words of
+its short prefix. Groups of near copies therefore cost their size, not its square: only pairs whose later line is
+still without a witness are then tried, and those are all tried.
 
 Results for the unusual cases: null text is one blank line; lines without words are never removed; ties between
-equal lines go to the smaller doc_id, then line number; rows that repeat a doc_id hold repeated lines, of which
-the row is counted once; a null doc_id comes first in order; an empty table gives an empty result.
+equal lines go to the smaller doc_id, then line number; rows that share a doc_id, or have none, are rows of their own
+in the order of doc_id and text digest, nulls first; an empty table gives an empty result; other columns are not read,
+and pass through ``remove_repeated_lines`` whatever their names.
 """
 
 from __future__ import annotations
@@ -23,35 +27,45 @@ import math
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 SIMILARITY = 0.8
 #: Cells of the rarity table; one small number each travels in the plan.
-CELLS = 1 << 17
-#: Rarest words of a line under which it first looks for a witness, and classes it is compared with there.
-FIRST_WORDS, WITNESSES = 4, 2
-BLANKS = r"[ \t\x0B\f\r]+"
+CELLS = 1 << 16
+#: Cells of up to this many times the average count say nothing about a word's rarity.
+UNTOLD = 4
+#: Last words of a line's short prefix under which it first looks for a witness; words that edits have brought into a
+#: copy are rarer than those of its group and stand before them.
+FIRST_WORDS = 3
+#: Passes of the join over the words, by hash: the shuffle of one pass is gone before the next one's is written.
+PASSES = 2
 #: Sizes and positions from here on pass the filters unseen.
 WIDE = (1 << 15) - 1
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, words): one row per line, whole texts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return lines.select("id", "line_no", F.array_remove(F.split("line", BLANKS), "").alias("words"))
+def _plain(text: Column) -> Column:
+    """The text with every blank that separates words within a line as a space."""
+    out = F.coalesce(text, F.lit(""))
+    for blank in "\t\x0b\x0c\r":
+        out = F.replace(out, F.lit(blank), F.lit(" "))
+    return out
+
+
+def _words(line: str) -> str:
+    return f"array_remove(split({line}, ' '), '')"
 
 
 def rarity_table(docs: DataFrame, text_col: str) -> str:
     """SQL text of an array literal: for each hash cell 1 to 127, growing with how often its words occur."""
-    words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), BLANKS.replace("[", "[\n", 1))).alias("w"))
+    words = docs.select(F.explode(F.split(F.replace(_plain(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.expr(f"cast(xxhash64(w) & {CELLS - 1}L as int)").alias("cell")).count().collect()  # at most CELLS rows
+    untold = max(1, UNTOLD * sum(n for _, n in counts) // CELLS)
     levels = bytearray(b"\x01" * CELLS)
     for cell, n in counts:
-        levels[cell] = max(1, min(127, int(4 * math.log2(n + 1))))
+        levels[cell] = max(1, min(127, int(4 * math.log2((n + 1) / untold))))
     return f"cast(split('{','.join(map(str, levels))}', ',') as array<tinyint>)"
 
 
@@ -78,6 +92,7 @@ def _passes(similarity: float) -> str:
 
 #: An entry's small numbers in one long: 1 bit for a class that has its witness, 15 for size, 15 for position, 32 for the line.
 _N, _POS, _LINE, _DONE = "(shiftright({0}, 47) & 32767L)", "(shiftright({0}, 32) & 32767L)", "({0} & 4294967295L)", "(shiftright({0}, 62) & 1L)"
+_EARLIER = "(a_id < b_id or (a_id = b_id and a_line < b_line))"
 
 
 def _unpacked(text: str) -> str:
@@ -88,87 +103,153 @@ def _unpacked(text: str) -> str:
     return text
 
 
-def _entries(classes: DataFrame, words: str) -> DataFrame:
-    """(t, id, sig, x) for the prefix words of each class (id, line_no, n, sig, prefix, done); x is packed."""
-    rows = classes.select("id", "line_no", "n", "sig", "done", F.posexplode(F.expr(words)).alias("at", "t"))
-    packed = "shiftleft(done, 62) | shiftleft(least(cast(n as bigint), 32767L), 47) | shiftleft(least(cast(at as bigint) + 1L, 32767L), 32) | cast(line_no as bigint)"
-    return rows.select("t", "id", "sig", F.expr(packed).alias("x"))
+def _short(n: str, similarity: float) -> str:
+    """Words of the prefix that meets every partner of the same size or larger; n minus what they share, plus one."""
+    return f"cast({n} - ceil({2 * similarity / (1 + similarity)!r} * {n} - 1e-9) + 1 as int)"
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The pairs (a_id, a_line, b_id, b_line) whose lines' word sets really are that similar."""
-    pairs = common.cut(pairs.distinct())
-    wanted = pairs.select(F.col("a_id").alias("wid"), F.col("a_line").alias("wline")).unionByName(pairs.select(F.col("b_id").alias("wid"), F.col("b_line").alias("wline")))
-    wanted = common.cut(wanted.distinct())
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    ids = common.cut(wanted.select(F.col("wid").alias("did")).distinct())
-    held = common.matched(docs, ids, docs[id_col].cast("long").eqNullSafe(ids["did"]), "left_semi")
-    lines = held.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    sets = common.matched(lines, wanted, lines["id"].eqNullSafe(wanted["wid"]) & (lines["line_no"] == wanted["wline"]), "inner").select("wid", "wline", F.array_distinct(F.array_remove(F.split("line", BLANKS), "")).alias("w"))
-    sets = common.cut(sets.dropDuplicates(["wid", "wline"]))
-    a, b = sets.select(F.col("wid").alias("i"), F.col("wline").alias("l"), F.col("w").alias("wa")), sets.select(F.col("wid").alias("j"), F.col("wline").alias("m"), F.col("w").alias("wb"))
-    both = pairs.join(a, pairs["a_id"].eqNullSafe(a["i"]) & (pairs["a_line"] == a["l"])).join(b, pairs["b_id"].eqNullSafe(b["j"]) & (pairs["b_line"] == b["m"]))
-    both = both.withColumn("o", F.size(F.array_intersect("wa", "wb")))
-    return common.cut(both.where(f"o >= {similarity} * (size(wa) + size(wb) - o) - 1e-9").select("a_id", "a_line", "b_id", "b_line"))
+def _range(n: str, similarity: float) -> str:
+    """The size range of a set of n words; ranges grow by 1 / similarity."""
+    return f"cast(floor(ln({n}) * {1 / -math.log(similarity) if similarity < 1 else 1.0!r}) as int)"
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(lines, removed): every line as (id, line_no, n, gone), and why the first lines of classes go:
-    (a_id, a_line, b_id, b_line) with line a the earlier witness of line b."""
-    table = rarity_table(docs, text_col)
-    keys = f"transform(transform(words, w -> xxhash64(w)), h -> shiftleft(cast(({table})[cast(h & {CELLS - 1}L as int)] as bigint), 56) | (h & 72057594037927935L))"
-    lines = lines_of(docs, id_col, text_col).withColumn("k", F.expr(f"sort_array(array_distinct({keys}))"))
-    lines = lines.withColumn("n", F.size("k"))
-    prefix = f"slice(k, 1, cast(n - ceil({similarity} * n - 1e-9) + 1 as int))"
+def _named() -> list[Column]:
+    return [F.col("a_id"), F.expr(_unpacked("cast(a_line as int)")).alias("a_line"), F.col("b_id"), F.expr(_unpacked("cast(b_line as int)")).alias("b_line")]
+
+
+def _entries(live: DataFrame, side: str, low: str, high: str, similarity: float, partners: bool = False, only: str = "true") -> DataFrame:
+    """(k, id, sig, x), the last three with the side's name, for the prefix words at positions low to high of each
+    class (id, line_no, n, sig, prefix, done). k is a word with the class's own size range, or with each range that
+    its smaller partners can be in; x is packed; only is a condition on the word t."""
+    rows = live.select("id", "line_no", "n", "sig", "done", F.expr(low).alias("low"), F.posexplode(F.expr(f"slice(prefix, {low}, {high} - {low} + 1)")).alias("i", "t"))
+    rows = rows.where(only).withColumn("pos", F.expr("i + low"))
+    packed = f"shiftleft(done, 62) | shiftleft(least(cast(n as bigint), {WIDE}L), 47) | shiftleft(least(cast(pos as bigint), {WIDE}L), 32) | cast(line_no as bigint)"
+    at = F.expr(_range("n", similarity))
+    if partners:
+        smallest = f"greatest(1, cast(ceil({similarity} * n - 1e-9) as int))"
+        # a partner that shares its first word with this position has at most this size, or too few words are left
+        largest = f"if(n >= {WIDE}, n, greatest({smallest}, least(n, cast(floor((1 + n - pos) * {(1 + similarity) / similarity!r} - n + 1e-6) as int))))"
+        at = F.explode(F.expr(f"sequence({_range(smallest, similarity)}, {_range(largest, similarity)})"))
+    rows = rows.select("t", "id", "sig", F.expr(packed).alias("x"), at.alias("r"))
+    return rows.select(F.expr("shiftleft(cast(t as bigint), 16) | r").alias("k"), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "sig", "x")])
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the checkpointed pairs (a_id, a_line, b_id, b_line) whose lines' word sets really are that similar."""
+    wanted = pairs.select(F.col("a_id").alias("wid"), F.col("a_line").alias("wline")).unionByName(pairs.select(F.col("b_id").alias("wid"), F.col("b_line").alias("wline")))
+    wanted = common.cut(wanted.groupBy("wid").agg(F.collect_set("wline").alias("wlines")))  # within a document
+    held = common.matched(docs, wanted, F.col("id") == F.col("wid"), "inner")
+    numbered = F.expr("filter(transform(t, (x, i) -> struct(cast(i as int) as no, x as line)), s -> array_contains(wlines, s.no))")
+    lines = held.select("id", "wlines", F.split(_plain(F.col("text")), "\n").alias("t")).select("id", F.explode(numbered).alias("l"))
+    sets = lines.select("id", F.col("l.no").alias("no"), F.expr(f"array_distinct({_words('l.line')})").alias("w")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
+    parity = [F.expr(f"aggregate(filter(h, x -> (shiftright(x, 6) & 3L) = {j}), 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63L as int)))").alias(f"s{j}") for j in range(4)]
+    sets = _stored(sets.select("id", "no", F.size("w").alias("n"), *parity, "w"))
+
+    def beside(left: DataFrame, side: str) -> DataFrame:
+        right = sets.select(F.col("id").alias("rid"), F.col("no").alias("rno"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "s0", "s1", "s2", "s3")])
+        return common.matched(left, right, (F.col(f"{side}_id") == F.col("rid")) & (F.col(f"{side}_line") == F.col("rno")), "inner").drop("rid", "rno")
+
+    apart = " + ".join(f"bit_count(a_s{j} ^ b_s{j})" for j in range(4))
+    likely = beside(beside(pairs, "a"), "b").where(f"{apart} <= a_n + b_n - 2 * {_needed('a_n', 'b_n', similarity)}")
+    likely = common.cut(likely.select("a_id", "a_line", "b_id", "b_line"))
+    a, b = (sets.select(F.col("id").alias(f"{s}i"), F.col("no").alias(f"{s}l"), F.col("w").alias(f"{s}w")) for s in "ab")
+    both = likely.join(a, F.expr("a_id = ai and a_line = al")).join(b, F.expr("b_id = bi and b_line = bl")).withColumn("o", F.size(F.array_intersect("aw", "bw")))
+    return common.cut(both.where(f"o >= {similarity} * (size(aw) + size(bw) - o) - 1e-9").select("a_id", "a_line", "b_id", "b_line"))
+
+
+def _repeated(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, equal, removed) of docs (id, text), whose ids are unique: every line as (id, line_no, n), the lines
+    (id, line_no) of which an equal one stands earlier, and the witnesses as in ``repeated_lines``."""
+    if not 0 < similarity <= 1:
+        raise ValueError(f"similarity {similarity} is not above 0 and up to 1")
+    spark, table = docs.sparkSession, rarity_table(docs, "text")
+    hashes = f"transform({_words('line')}, w -> (xxhash64(w) & 1125899906842623L) | shiftleft(cast(63 - least(octet_length(w), 63) as bigint), 50))"
+    keys = f"transform({hashes}, h -> shiftleft(cast(({table})[cast(h & {CELLS - 1}L as int)] as bigint), 56) | h)"
+    lines = docs.select("id", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("k", F.expr(f"sort_array(array_distinct({keys}))")).withColumn("n", F.size("k"))
+    # smaller sets are similar enough only if equal
+    least = math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 30
     signature = "aggregate(k, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63L as int)))"
-    lines = _stored(lines.select("id", "line_no", "n", F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(1)).alias("h2"), F.expr(f"if(n > 3, {signature}, 0L)").alias("sig"), F.expr(f"if(n > 3, {prefix}, array())").alias("prefix")))
-    firsts = lines.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no", "n", "sig", "prefix")).alias("f"))
-    classes = _stored(firsts.select("h1", "h2", "f.id", "f.line_no", "f.n", "f.sig", "f.prefix"))
-    # up to three words only an equal set is similar enough
-    live = classes.where("n > 3").withColumn("done", F.lit(0).cast("long"))
-    passes = F.expr(_unpacked(_passes(similarity)))
-    named = [F.col("a_id"), F.expr(_unpacked("cast(a_line as int)")).alias("a_line"), F.col("b_id"), F.expr(_unpacked("cast(b_line as int)")).alias("b_line")]
-    upto = Window.partitionBy("t").orderBy("id", F.expr(_LINE.format("x"))).rowsBetween(Window.unboundedPreceding, -1)
-    near = _entries(live, f"slice(prefix, 1, {FIRST_WORDS})")
-    leads = [F.nth_value(F.struct("id", "sig", "x"), i + 1).over(upto).alias(f"lead{i}") for i in range(WITNESSES)]
-    near = near.select("*", *leads).select(F.col("id").alias("b_id"), F.col("sig").alias("b_sig"), F.col("x").alias("b_x"), F.explode(F.array(*[f"lead{i}" for i in range(WITNESSES)])).alias("l")).where("l is not null")
-    near = near.select("b_id", "b_sig", "b_x", F.col("l.id").alias("a_id"), F.col("l.sig").alias("a_sig"), F.col("l.x").alias("a_x")).where(passes)
-    seen = _verify(near.select(*named), docs, id_col, text_col, similarity)
+    prefix = f"transform(slice(k, 1, cast(n - ceil({similarity} * n - 1e-9) + 1 as int)), x -> hash(x))"
+    lines = _stored(lines.select("id", "line_no", "n", F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(1)).alias("h2"), F.expr(f"if(n >= {least}, {signature}, 0L)").alias("sig"), F.expr(f"if(n >= {least}, {prefix}, array())").alias("prefix")))
+
+    # the first line of a class as one number, which aggregates by hash
+    place = F.expr("cast(id as decimal(20, 0)) * cast(4294967296 as decimal(10, 0)) + line_no")
+    classes = lines.where("n > 0").select("h1", "h2", place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("c"))
+    classes = common.cut(classes.where("c > 1").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first"))
+    placed = common.matched(lines, classes, F.expr("h1 = c1 and h2 = c2 and n > 0"), "left").withColumn("leads", F.col("first").isNull() | (place == F.col("first")))
+    equal = placed.where("not leads").select("id", "line_no")
+    live = placed.where(f"leads and n >= {least}").select("id", "line_no", "n", "sig", "prefix")
+
+    # the earliest class under each of a few words, by an aggregate that combines before the shuffle
+    passes, earlier = F.expr(_unpacked(_passes(similarity))), F.expr(_unpacked(_EARLIER))
+    short = _short("n", similarity)
+    near = _entries(live.withColumn("done", F.lit(0).cast("long")), "b", f"greatest(1, {short} - {FIRST_WORDS - 1})", short, similarity)
+    leads = near.groupBy(F.col("k").alias("lk")).agg(F.min("b_id").alias("a_id"), F.min_by("b_sig", "b_id").alias("a_sig"), F.min_by("b_x", "b_id").alias("a_x"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = near.join(leads, F.col("k") == F.col("lk")).where(earlier & passes).select(*_named())
+    seen = _verify(common.cut(met.distinct()), docs, similarity)
     found = common.cut(seen.select(F.col("b_id").alias("fid"), F.col("b_line").alias("fline")).distinct())
-    # a class that has its witness can still be one for others
-    marked = common.matched(live.drop("done"), found, live["id"].eqNullSafe(found["fid"]) & (live["line_no"] == found["fline"]), "left").select("id", "line_no", "n", "sig", "prefix", F.col("fline").isNotNull().cast("long").alias("done"))
-    side = lambda p: _entries(marked, "prefix").select("t", F.col("id").alias(f"{p}_id"), F.col("sig").alias(f"{p}_sig"), F.col("x").alias(f"{p}_x"))
-    earlier = _unpacked("((a_id is null and b_id is not null) or a_id < b_id or (a_id <=> b_id and a_line < b_line))")
-    # told of both sides at once: a filter on one side alone would keep the engine from shuffling the entries once
-    waiting = _unpacked("b_done < 1 + 0 * a_x")
-    joined = side("a").join(side("b"), "t").where(F.expr(f"{waiting} and {earlier}") & passes)
-    more = _verify(joined.select(*named), docs, id_col, text_col, similarity)
-    removed = seen.unionByName(more)
-    gone = common.cut(removed.select(F.col("b_id").alias("gid"), F.col("b_line").alias("gline")).distinct())
-    heads = classes.select("h1", "h2", F.col("id").alias("cid"), F.col("line_no").alias("cline"))
-    heads = common.cut(heads.join(gone, heads["cid"].eqNullSafe(gone["gid"]) & (heads["cline"] == gone["gline"]), "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "cid", "cline", F.col("gline").isNotNull().alias("similar")))
-    told = lines.where("n > 0").select("id", "line_no", "n", "h1", "h2")
-    told = told.join(heads, (told["h1"] == heads["c1"]) & (told["h2"] == heads["c2"])).select("id", "line_no", "n", F.expr("similar or not (id <=> cid and line_no = cline)").alias("gone"))
-    blank = lines.where("n = 0").select("id", "line_no", "n", F.lit(False).alias("gone"))
-    return told.unionByName(blank), removed
+    common.release(spark)
+
+    # every pair whose later line has no witness yet; a class that has one can still be one for others
+    marked = common.matched(live, found, F.expr("id = fid and line_no = fline"), "left").withColumn("done", F.col("fline").isNotNull().cast("long")).drop("fid", "fline")
+    waits = F.expr(_unpacked(f"not (a_id = b_id and a_line = b_line) and a_n <= b_n and (a_n < b_n or a_n >= {WIDE} or {_EARLIER}) and if({_EARLIER}, b_done, a_done) = 0"))
+    a_id, a_line, b_id, b_line = _named()
+    ordered = [F.when(earlier, a_id).otherwise(b_id).alias("a_id"), F.when(earlier, a_line).otherwise(b_line).alias("a_line"), F.when(earlier, b_id).otherwise(a_id).alias("b_id"), F.when(earlier, b_line).otherwise(a_line).alias("b_line")]
+    more = None
+    for number in range(PASSES):
+        only = f"pmod(t, {PASSES}) = {number}"
+        filed = _entries(marked, "a", "1", short, similarity, only=only)
+        looked = _entries(marked, "b", "1", "size(prefix)", similarity, partners=True, only=only)
+        part = common.cut(filed.join(looked, "k").where(waits & passes).select(*ordered).distinct())
+        more = part if more is None else more.unionByName(part)
+        common.release(spark)
+    return lines, equal, seen.unionByName(_verify(common.cut(more.distinct()), docs, similarity))
+
+
+def _gone(equal: DataFrame, removed: DataFrame) -> DataFrame:
+    """(gid, gline): the lines that go, each once."""
+    similar = removed.select(F.col("b_id").alias("gid"), F.col("b_line").alias("gline")).distinct()
+    return common.cut(equal.select(F.col("id").alias("gid"), F.col("line_no").alias("gline")).unionByName(similar))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """docs as (key, row), and (id, text) with the keys as ids."""
+    keyed = common.keyed(docs, id_col, text_col)
+    return keyed, keyed.select(F.col("key").alias("id"), F.col("row")[text_col].alias("text"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(lines, removed): every line as (id, line_no, n, gone), n being its number of distinct words, and why lines that
+    are first of their class go: (a_id, a_line, b_id, b_line) with line a the earlier witness of line b. Ids are the
+    documents' own if these are unique integers, else row numbers in the order of id and text digest."""
+    lines, equal, removed = _repeated(_texts(docs, id_col, text_col)[1], similarity)
+    gone = _gone(equal, removed)
+    told = common.matched(lines, gone, F.expr("id = gid and line_no = gline"), "left")
+    return told.select("id", "line_no", "n", F.col("gline").isNotNull().alias("gone")), removed
+
+
+def _with_gone(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(key, row, numbers): numbers are those of the row's lines that go, ascending; null if none does."""
+    keyed, texts = _texts(docs, id_col, text_col)
+    _, equal, removed = _repeated(texts, similarity)
+    numbers = common.cut(_gone(equal, removed).groupBy("gid").agg(F.array_sort(F.collect_list("gline")).alias("numbers")))
+    return keyed.join(numbers, F.col("key") == F.col("gid"), "left").select("key", "row", "numbers")
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with the repeated lines taken out of the text; all rows and columns stay."""
-    lines, _ = repeated_lines(docs, id_col, text_col, similarity)
-    gone = common.cut(lines.where("gone").groupBy("id").agg(F.collect_set("line_no").alias("numbers")))
-    # the whole row is held as a struct, so that no column name can clash
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("t"))
-    joined = rows.join(gone, F.col("own").eqNullSafe(F.col("id")), "left")
+    joined = _with_gone(docs, id_col, text_col, similarity).withColumn("t", F.col("row")[text_col])
     kept = F.expr("if(numbers is null, t, array_join(filter(split(t, '\\n'), (x, i) -> not array_contains(numbers, i)), '\\n'))")
-    return joined.select(*[kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return joined.select(*[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many lines it has, how many go, and their numbers."""
-    lines, _ = repeated_lines(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
-    numbers = F.expr("array_join(transform(array_sort(collect_list(case when gone then line_no end)), x -> cast(x as string)), ',')")
-    return lines.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.sum(F.col("gone").cast("long")).alias("n_removed"), numbers.alias("removed_lines"))
+    found = _with_gone(common.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", SIMILARITY)
+    n_lines = F.size(F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n")).cast("long")
+    told = F.coalesce(F.array_join(F.transform("numbers", lambda x: x.cast("string")), ","), F.lit(""))
+    return found.select(F.col("row.doc_id").alias("doc_id"), n_lines.alias("n_lines"), F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_removed"), told.alias("removed_lines"))
 
 
 SQL = r"""
