@@ -2,17 +2,15 @@
 
 A line is the set of its blank-separated words. Lines of equal sets are one class, represented by their first
 line (by doc_id, then line number). Words are ordered by rarity, rarest first: their occurrences in all documents
-are counted in a table of fixed size by hash, so that the order is one global order without a join per word; words
-that the table cannot tell from its cells' average are ordered by length, the longer first. Two sets of a Jaccard
-similarity of 0.8 or more share a word within their prefixes (the shorter set needs the shorter prefix), and sets of
+are counted in a table of fixed size by hash, so that the order is one global order without a join per word (any
+order is exact). Two sets of a Jaccard similarity of 0.8 or more share a word within their prefixes (the shorter set needs the shorter prefix), and sets of
 that similarity are of about one size. Classes therefore meet on (word, size range): each files its short prefix under
 its own size range and looks up its long prefix under every range that a smaller partner can be in. Pairs pass the
-length filter, the positional filter and a parity-signature filter (none drops a true pair), then a wider parity
-signature, and the exact Jaccard of the words themselves. A line goes if an earlier line has a similarity of 0.8 or
-more with it.
+length filter, the positional filter and a parity-signature filter of 128 bits (none drops a true pair) before the
+exact Jaccard of the words themselves. A line goes if an earlier line has a similarity of 0.8 or more with it.
 
-One witness is enough for a line to go, so each class is first compared with the earliest class under a few words of
-its short prefix. Groups of near copies therefore cost their size, not its square: only pairs whose later line is
+One witness is enough for a line to go, so each class is first compared with the earliest class under a few word
+pairs of its short prefix. Groups of near copies therefore cost their size, not its square: only pairs whose later line is
 still without a witness are then tried, and those are all tried.
 
 Results for the unusual cases: null text is one blank line; lines without words are never removed; ties between
@@ -34,11 +32,9 @@ from . import common
 
 SIMILARITY = 0.8
 #: Cells of the rarity table; one small number each travels in the plan.
-CELLS = 1 << 16
-#: Cells of up to this many times the average count say nothing about a word's rarity.
-UNTOLD = 4
-#: Last words of a line's short prefix under which it first looks for a witness; words that edits have brought into a
-#: copy are rarer than those of its group and stand before them.
+CELLS = 1 << 19
+#: Last words of a line's short prefix under which, each with the next word, it first looks for a witness; words that
+#: edits have brought into a copy are rarer than those of its group and stand before them.
 FIRST_WORDS = 3
 #: Passes of the join over the words, by hash: the shuffle of one pass is gone before the next one's is written.
 PASSES = 2
@@ -48,10 +44,8 @@ WIDE = (1 << 15) - 1
 
 def _plain(text: Column) -> Column:
     """The text with every blank that separates words within a line as a space."""
-    out = F.coalesce(text, F.lit(""))
-    for blank in "\t\x0b\x0c\r":
-        out = F.replace(out, F.lit(blank), F.lit(" "))
-    return out
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(r"[\t\x0B\f\r]"), F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)
 
 
 def _words(line: str) -> str:
@@ -61,11 +55,13 @@ def _words(line: str) -> str:
 def rarity_table(docs: DataFrame, text_col: str) -> str:
     """SQL text of an array literal: for each hash cell 1 to 127, growing with how often its words occur."""
     words = docs.select(F.explode(F.split(F.replace(_plain(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.expr(f"cast(xxhash64(w) & {CELLS - 1}L as int)").alias("cell")).count().collect()  # at most CELLS rows
-    untold = max(1, UNTOLD * sum(n for _, n in counts) // CELLS)
+    counts = words.groupBy(F.expr(f"cast(xxhash64(w) & {CELLS - 1}L as int)").alias("cell")).count()
+    # at most CELLS cells reach the driver, as text in rows of 4096
+    packed = counts.groupBy(F.expr("cell div 4096").alias("g")).agg(F.array_join(F.collect_list(F.concat_ws(":", "cell", "count")), ",").alias("t"))
+    found = [(int(cell), int(n)) for row in packed.collect() for cell, _, n in (x.partition(":") for x in row.t.split(","))]
     levels = bytearray(b"\x01" * CELLS)
-    for cell, n in counts:
-        levels[cell] = max(1, min(127, int(4 * math.log2((n + 1) / untold))))
+    for cell, n in found:
+        levels[cell] = max(1, min(127, int(4 * math.log2(n + 1))))
     return f"cast(split('{','.join(map(str, levels))}', ',') as array<tinyint>)"
 
 
@@ -78,15 +74,15 @@ def _stored(df: DataFrame) -> DataFrame:
 
 def _needed(n: str, m: str, similarity: float) -> str:
     """Words that sets of n and m words must share."""
-    return f"ceil({similarity / (1 + similarity)!r} * ({n} + {m}) - 1e-9)"
+    return f"ceil({similarity / (1 + similarity)!r}D * ({n} + {m}) - 1e-9D)"
 
 
 def _passes(similarity: float) -> str:
     """Length, positional and signature filters on two entries, prefixes a_ and b_."""
     shared = _needed("a_n", "b_n", similarity)
-    length = f"least(a_n, b_n) >= {similarity} * greatest(a_n, b_n) - 1e-9"
+    length = f"least(a_n, b_n) >= {similarity!r}D * greatest(a_n, b_n) - 1e-9D"
     position = f"1 + least(a_n - a_pos, b_n - b_pos) >= {shared}"
-    signature = f"bit_count(a_sig ^ b_sig) <= a_n + b_n - 2 * {shared}"
+    signature = f"bit_count(a_sig ^ b_sig) + bit_count(a_sig2 ^ b_sig2) <= a_n + b_n - 2 * {shared}"
     return f"(a_n >= {WIDE} or b_n >= {WIDE} or ({length} and {position} and {signature}))"
 
 
@@ -105,33 +101,34 @@ def _unpacked(text: str) -> str:
 
 def _short(n: str, similarity: float) -> str:
     """Words of the prefix that meets every partner of the same size or larger; n minus what they share, plus one."""
-    return f"cast({n} - ceil({2 * similarity / (1 + similarity)!r} * {n} - 1e-9) + 1 as int)"
+    return f"cast({n} - ceil({2 * similarity / (1 + similarity)!r}D * {n} - 1e-9D) + 1 as int)"
 
 
 def _range(n: str, similarity: float) -> str:
-    """The size range of a set of n words; ranges grow by 1 / similarity."""
-    return f"cast(floor(ln({n}) * {1 / -math.log(similarity) if similarity < 1 else 1.0!r}) as int)"
+    """The size range of a set of n words; ranges grow by 1 / similarity twice, so partners lie in two at most."""
+    return f"cast(floor(ln({n}) * {0.5 / -math.log(similarity) if similarity < 1 else 1.0!r}D) as int)"
 
 
 def _named() -> list[Column]:
     return [F.col("a_id"), F.expr(_unpacked("cast(a_line as int)")).alias("a_line"), F.col("b_id"), F.expr(_unpacked("cast(b_line as int)")).alias("b_line")]
 
 
-def _entries(live: DataFrame, side: str, low: str, high: str, similarity: float, partners: bool = False, only: str = "true") -> DataFrame:
-    """(k, id, sig, x), the last three with the side's name, for the prefix words at positions low to high of each
-    class (id, line_no, n, sig, prefix, done). k is a word with the class's own size range, or with each range that
-    its smaller partners can be in; x is packed; only is a condition on the word t."""
-    rows = live.select("id", "line_no", "n", "sig", "done", F.expr(low).alias("low"), F.posexplode(F.expr(f"slice(prefix, {low}, {high} - {low} + 1)")).alias("i", "t"))
-    rows = rows.where(only).withColumn("pos", F.expr("i + low"))
+def _entries(live: DataFrame, side: str, low: str, high: str, similarity: float, partners: bool = False, only: str = "true", at: str = "i + low") -> DataFrame:
+    """(k, id, sig, sig2, x), but for k with the side's name, for the prefix words at positions low to high of each
+    class (id, line_no, n, sig, sig2, prefix, done). k is a word with the class's own size range, or with each range that
+    its smaller partners can be in; x is packed; only is a condition on the word t, at the position that is filed."""
+    rows = live.select("id", "line_no", "n", "sig", "sig2", "done", F.expr(low).alias("low"), F.posexplode(F.expr(f"slice(prefix, {low}, {high} - {low} + 1)")).alias("i", "t"))
+    rows = rows.where(only).withColumn("pos", F.expr(at))
     packed = f"shiftleft(done, 62) | shiftleft(least(cast(n as bigint), {WIDE}L), 47) | shiftleft(least(cast(pos as bigint), {WIDE}L), 32) | cast(line_no as bigint)"
-    at = F.expr(_range("n", similarity))
+    ranges = F.expr(_range("n", similarity))
     if partners:
-        smallest = f"greatest(1, cast(ceil({similarity} * n - 1e-9) as int))"
+        smallest = f"greatest(1, cast(ceil({similarity!r}D * n - 1e-9D) as int))"
         # a partner that shares its first word with this position has at most this size, or too few words are left
-        largest = f"if(n >= {WIDE}, n, greatest({smallest}, least(n, cast(floor((1 + n - pos) * {(1 + similarity) / similarity!r} - n + 1e-6) as int))))"
-        at = F.explode(F.expr(f"sequence({_range(smallest, similarity)}, {_range(largest, similarity)})"))
-    rows = rows.select("t", "id", "sig", F.expr(packed).alias("x"), at.alias("r"))
-    return rows.select(F.expr("shiftleft(cast(t as bigint), 16) | r").alias("k"), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "sig", "x")])
+        largest = f"if(n >= {WIDE}, n, greatest({smallest}, least(n, cast(floor((1 + n - pos) * {(1 + similarity) / similarity!r}D - n + 1e-6D) as int))))"
+        rows = rows.select("*", F.expr(_range(smallest, similarity)).alias("r0"), F.expr(_range(largest, similarity)).alias("r1"))
+        ranges = F.explode(F.expr("case when r0 = r1 then array(r0) when r0 + 1 = r1 then array(r0, r1) else sequence(r0, r1) end"))
+    rows = rows.select("t", "id", "sig", "sig2", F.expr(packed).alias("x"), ranges.alias("r"))
+    return rows.select(F.expr("shiftleft(cast(t as bigint), 16) | r").alias("k"), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "sig", "sig2", "x")])
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -140,21 +137,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     wanted = common.cut(wanted.groupBy("wid").agg(F.collect_set("wline").alias("wlines")))  # within a document
     held = common.matched(docs, wanted, F.col("id") == F.col("wid"), "inner")
     numbered = F.expr("filter(transform(t, (x, i) -> struct(cast(i as int) as no, x as line)), s -> array_contains(wlines, s.no))")
-    lines = held.select("id", "wlines", F.split(_plain(F.col("text")), "\n").alias("t")).select("id", F.explode(numbered).alias("l"))
-    sets = lines.select("id", F.col("l.no").alias("no"), F.expr(f"array_distinct({_words('l.line')})").alias("w")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
-    parity = [F.expr(f"aggregate(filter(h, x -> (shiftright(x, 6) & 3L) = {j}), 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63L as int)))").alias(f"s{j}") for j in range(4)]
-    sets = _stored(sets.select("id", "no", F.size("w").alias("n"), *parity, "w"))
-
-    def beside(left: DataFrame, side: str) -> DataFrame:
-        right = sets.select(F.col("id").alias("rid"), F.col("no").alias("rno"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "s0", "s1", "s2", "s3")])
-        return common.matched(left, right, (F.col(f"{side}_id") == F.col("rid")) & (F.col(f"{side}_line") == F.col("rno")), "inner").drop("rid", "rno")
-
-    apart = " + ".join(f"bit_count(a_s{j} ^ b_s{j})" for j in range(4))
-    likely = beside(beside(pairs, "a"), "b").where(f"{apart} <= a_n + b_n - 2 * {_needed('a_n', 'b_n', similarity)}")
-    likely = common.cut(likely.select("a_id", "a_line", "b_id", "b_line"))
-    a, b = (sets.select(F.col("id").alias(f"{s}i"), F.col("no").alias(f"{s}l"), F.col("w").alias(f"{s}w")) for s in "ab")
-    both = likely.join(a, F.expr("a_id = ai and a_line = al")).join(b, F.expr("b_id = bi and b_line = bl")).withColumn("o", F.size(F.array_intersect("aw", "bw")))
-    return common.cut(both.where(f"o >= {similarity} * (size(aw) + size(bw) - o) - 1e-9").select("a_id", "a_line", "b_id", "b_line"))
+    lines = held.select("id", "wlines", F.split(_plain(F.col("text")), "\n").alias("t")).select("id", F.explode(numbered).alias("l")).select("id", "l.no", "l.line")
+    texts = _stored(lines)
+    # a line that many pairs share is one row on its side, so the engine may split the pairs
+    a, b = (texts.select(F.col("id").alias(f"{s}i"), F.col("no").alias(f"{s}l"), F.expr(f"array_distinct({_words('line')})").alias(f"{s}w")) for s in "ab")
+    both = pairs.join(a, F.expr("a_id = ai and a_line = al")).join(b, F.expr("b_id = bi and b_line = bl")).withColumn("o", F.size(F.array_intersect("aw", "bw")))
+    return common.cut(both.where(f"o >= {similarity!r}D * (size(aw) + size(bw) - o) - 1e-9D").select("a_id", "a_line", "b_id", "b_line"))
 
 
 def _repeated(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -163,32 +151,36 @@ def _repeated(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame,
     if not 0 < similarity <= 1:
         raise ValueError(f"similarity {similarity} is not above 0 and up to 1")
     spark, table = docs.sparkSession, rarity_table(docs, "text")
-    hashes = f"transform({_words('line')}, w -> (xxhash64(w) & 1125899906842623L) | shiftleft(cast(63 - least(octet_length(w), 63) as bigint), 50))"
-    keys = f"transform({hashes}, h -> shiftleft(cast(({table})[cast(h & {CELLS - 1}L as int)] as bigint), 56) | h)"
+    hashes = f"transform({_words('line')}, w -> xxhash64(w) & 72057594037927935L)"
+    # never null, which lets the engine sort plain longs
+    keys = f"transform({hashes}, h -> coalesce(shiftleft(cast(({table})[cast(h & {CELLS - 1}L as int)] as bigint), 56) | h, h))"
     lines = docs.select("id", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
     lines = lines.withColumn("k", F.expr(f"sort_array(array_distinct({keys}))")).withColumn("n", F.size("k"))
     # smaller sets are similar enough only if equal
     least = math.ceil(similarity / (1 - similarity) - 1e-9) if similarity < 1 else 1 << 30
-    signature = "aggregate(k, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63L as int)))"
-    prefix = f"transform(slice(k, 1, cast(n - ceil({similarity} * n - 1e-9) + 1 as int)), x -> hash(x))"
-    lines = _stored(lines.select("id", "line_no", "n", F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(1)).alias("h2"), F.expr(f"if(n >= {least}, {signature}, 0L)").alias("sig"), F.expr(f"if(n >= {least}, {prefix}, array())").alias("prefix")))
+    signature = lambda half: f"if(n >= {least}, aggregate(k, 0L, (s, x) -> s ^ if((x & 64L) = {half}L, shiftleft(1L, cast(x & 63L as int)), 0L)), 0L)"
+    prefix = f"transform(slice(k, 1, cast(n - ceil({similarity!r}D * n - 1e-9D) + 1 as int)), x -> hash(x))"
+    lines = _stored(lines.select("id", "line_no", "n", F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(1)).alias("h2"), F.expr(signature(0)).alias("sig"), F.expr(signature(64)).alias("sig2"), F.expr(f"if(n >= {least}, {prefix}, array())").alias("prefix")))
 
     # the first line of a class as one number, which aggregates by hash
     place = F.expr("cast(id as decimal(20, 0)) * cast(4294967296 as decimal(10, 0)) + line_no")
     classes = lines.where("n > 0").select("h1", "h2", place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("c"))
-    classes = common.cut(classes.where("c > 1").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first"))
-    placed = common.matched(lines, classes, F.expr("h1 = c1 and h2 = c2 and n > 0"), "left").withColumn("leads", F.col("first").isNull() | (place == F.col("first")))
+    classes = classes.where("c > 1").withColumn("cline", F.expr("pmod(first, 4294967296)"))
+    classes = common.cut(classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.expr("(first - cline) div 4294967296").alias("cid"), F.col("cline").cast("int").alias("cline")))
+    placed = common.matched(lines, classes, F.expr("h1 = c1 and h2 = c2 and n > 0"), "left").withColumn("leads", F.expr("cid is null or (id = cid and line_no = cline)"))
     equal = placed.where("not leads").select("id", "line_no")
-    live = placed.where(f"leads and n >= {least}").select("id", "line_no", "n", "sig", "prefix")
+    live = placed.where(f"leads and n >= {least}").select("id", "line_no", "n", "sig", "sig2", "prefix")
 
-    # the earliest class under each of a few words, by an aggregate that combines before the shuffle
+    # the earliest class under each of a few word pairs, by an aggregate that combines before the shuffle
     passes, earlier = F.expr(_unpacked(_passes(similarity))), F.expr(_unpacked(_EARLIER))
     short = _short("n", similarity)
-    near = _entries(live.withColumn("done", F.lit(0).cast("long")), "b", f"greatest(1, {short} - {FIRST_WORDS - 1})", short, similarity)
-    leads = near.groupBy(F.col("k").alias("lk")).agg(F.min("b_id").alias("a_id"), F.min_by("b_sig", "b_id").alias("a_sig"), F.min_by("b_x", "b_id").alias("a_x"), F.count("*").alias("c")).where("c > 1").drop("c")
+    twos = F.expr(f"transform(sequence(greatest(1, {short} - {FIRST_WORDS - 1}), {short}), i -> hash(prefix[i - 1], prefix[least(i, size(prefix) - 1)]))")
+    near = _entries(live.withColumn("done", F.lit(0).cast("long")).withColumn("prefix", twos), "b", "1", "size(prefix)", similarity, at="1")
+    leads = near.groupBy(F.col("k").alias("lk")).agg(F.min("b_id").alias("a_id"), F.min_by("b_sig", "b_id").alias("a_sig"), F.min_by("b_sig2", "b_id").alias("a_sig2"), F.min_by("b_x", "b_id").alias("a_x"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = near.join(leads, F.col("k") == F.col("lk")).where(earlier & passes).select(*_named())
     seen = _verify(common.cut(met.distinct()), docs, similarity)
     found = common.cut(seen.select(F.col("b_id").alias("fid"), F.col("b_line").alias("fline")).distinct())
+    del near, leads, met
     common.release(spark)
 
     # every pair whose later line has no witness yet; a class that has one can still be one for others
@@ -203,6 +195,7 @@ def _repeated(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame,
         looked = _entries(marked, "b", "1", "size(prefix)", similarity, partners=True, only=only)
         part = common.cut(filed.join(looked, "k").where(waits & passes).select(*ordered).distinct())
         more = part if more is None else more.unionByName(part)
+        del filed, looked, part
         common.release(spark)
     return lines, equal, seen.unionByName(_verify(common.cut(more.distinct()), docs, similarity))
 
