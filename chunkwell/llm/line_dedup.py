@@ -9,8 +9,8 @@ its own size range and looks up its long prefix under every range that a smaller
 length filter, the positional filter and a parity-signature filter of 128 bits (none drops a true pair) before the
 exact Jaccard of the words themselves. A line goes if an earlier line has a similarity of 0.8 or more with it.
 
-One witness is enough for a line to go, so each class is first compared with the earliest class under a few word
-pairs of its short prefix. Groups of near copies therefore cost their size, not its square: only pairs whose later line is
+One witness is enough for a line to go, so each class is first compared with the earliest class under a few pairs of
+its prefix words, drawn by hash. Groups of near copies therefore cost their size, not its square: only pairs whose later line is
 still without a witness are then tried, and those are all tried.
 
 Results for the unusual cases: null text is one blank line; lines without words are never removed; ties between
@@ -33,9 +33,8 @@ from . import common
 SIMILARITY = 0.8
 #: Cells of the rarity table; one small number each travels in the plan.
 CELLS = 1 << 19
-#: Last words of a line's short prefix under which, each with the next word, it first looks for a witness; words that
-#: edits have brought into a copy are rarer than those of its group and stand before them.
-FIRST_WORDS = 3
+#: Pairs of neighbouring words of its prefix, those of the smallest hashes, under which a line first looks for a witness.
+FIRST_PAIRS = 4
 #: Passes of the join over the words, by hash: the shuffle of one pass is gone before the next one's is written.
 PASSES = 2
 #: Sizes and positions from here on pass the filters unseen.
@@ -171,11 +170,11 @@ def _repeated(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame,
     equal = placed.where("not leads").select("id", "line_no")
     live = placed.where(f"leads and n >= {least}").select("id", "line_no", "n", "sig", "sig2", "prefix")
 
-    # the earliest class under each of a few word pairs, by an aggregate that combines before the shuffle
+    # the earliest class under each of a few keys, by an aggregate that combines before the shuffle
     passes, earlier = F.expr(_unpacked(_passes(similarity))), F.expr(_unpacked(_EARLIER))
     short = _short("n", similarity)
-    twos = F.expr(f"transform(sequence(greatest(1, {short} - {FIRST_WORDS - 1}), {short}), i -> hash(prefix[i - 1], prefix[least(i, size(prefix) - 1)]))")
-    near = _entries(live.withColumn("done", F.lit(0).cast("long")).withColumn("prefix", twos), "b", "1", "size(prefix)", similarity, at="1")
+    pairs = "transform(sequence(1, greatest(1, size(prefix) - 1)), i -> hash(prefix[i - 1], prefix[least(i, size(prefix) - 1)]))"
+    near = _entries(live.withColumn("done", F.lit(0).cast("long")).withColumn("prefix", F.expr(f"slice(sort_array({pairs}), 1, {FIRST_PAIRS})")), "b", "1", "size(prefix)", similarity, at="1")
     leads = near.groupBy(F.col("k").alias("lk")).agg(F.min("b_id").alias("a_id"), F.min_by("b_sig", "b_id").alias("a_sig"), F.min_by("b_sig2", "b_id").alias("a_sig2"), F.min_by("b_x", "b_id").alias("a_x"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = near.join(leads, F.col("k") == F.col("lk")).where(earlier & passes).select(*_named())
     seen = _verify(common.cut(met.distinct()), docs, similarity)
