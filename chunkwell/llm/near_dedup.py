@@ -11,7 +11,7 @@ the smallest member; a pair is a link if the banded edit distance of the word se
 longer one (similarity of 0.8 or more). Buckets whose members are still in several components are compared again
 by one representative per component: all pairs of up to 16, a star and a chain of neighbours beyond. These rounds
 only save work. At the end every pair of a bucket that is still in two components is decided: in buckets of up to
-16 members each pair is tried, in larger ones each pair that shares a word pair among the rarest ones of both texts
+16 members each pair is tried, in larger ones each pair that shares six of the rarest words of both texts
 (a prefix filter, which no two similar texts fail). So no link within a bucket is lost, and a frequent passage
 does not make its bucket emit its square.
 
@@ -23,6 +23,7 @@ table gives an empty result; a null doc_id is its own class, is kept, and takes
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,12 @@ SIMILARITY = 0.8
 ALL_PAIRS = 16
 #: Rounds by representatives at most; they only save work.
 ROUNDS = 8
-#: Hash cells of the counts that order word pairs by rarity, as a power of two; any order is exact.
-CELL_BITS = 17
+#: Passes in which the last pairs are verified.
+PASSES = 4
+#: Hash cells of the counts that order words by rarity, as a power of two; any order is exact.
+CELL_BITS = 20
+#: Rare words that two texts must share to be verified, fewer only where a text is shorter; prefixes grow by as many.
+SHARED = 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -224,31 +229,35 @@ def _verifier(similarity: float):
     return run
 
 
-def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    one, two = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    return common.cut(pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(_verifier(similarity), "a long, b long"))
+def _verify(pairs: DataFrame, words: DataFrame, similarity: float, passes: int = 1) -> DataFrame:
+    """The similar ones of the checkpointed pairs (a, b); words are shuffled for one pass's share of them at a time."""
+    found = None
+    for number in range(passes):
+        one, two = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
+        part = pairs if passes == 1 else pairs.where(f"pmod(hash(a, b), {passes}) = {number}")
+        part = common.cut(part.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(_verifier(similarity), "a long, b long"))
+        found = part if found is None else found.unionByName(part)
+        if passes > 1:
+            del part, one, two
+            common.release(pairs.sparkSession)
+    return found
 
 
-def prefix_gram(similarity: float) -> int:
-    """Words of a gram of the prefix filter: the longest for which similar texts surely share one."""
-    return 2 if similarity >= 0.75 else 1
+def least_shared(n: int, similarity: float) -> int:
+    """Words (with their occurrence numbers) that a text of n words shares at least with any similar one: each word of
+    the longer text that the other lacks is an edit."""
+    return n - int((1 - similarity) * n + 1e-9)
 
 
-def least_shared(longest: np.ndarray, similarity: float) -> np.ndarray:
-    """Grams that two similar texts share at least, by the longer one's words: an edit takes away at most k of them."""
-    k = prefix_gram(similarity)
-    return longest - k + 1 - k * ((1 - similarity) * longest + 1e-9).astype(np.int64)
-
-
-def prefix(words: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest grams of a text, as many as make any similar text share one of them, rarest first."""
-    k, n = prefix_gram(similarity), len(words)
-    if n < k:
-        return np.empty(0, dtype=np.uint64)
-    labels = labelled(words, k)
-    shared = int(least_shared(np.arange(n, int(n / similarity) + 2), similarity).min())
-    order = np.lexsort((labels, counts[labels >> np.uint64(64 - CELL_BITS)]))
-    return labels[order[: len(labels) - max(1, shared) + 1]]
+def prefix(words: np.ndarray, levels: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The rarest labelled words of a text, as many as make any similar text share the returned number of them."""
+    n = len(words)
+    if not n:
+        return np.empty(0, dtype=np.uint64), 0
+    labels, shared = labelled(words, 1), max(1, least_shared(n, similarity))
+    wanted = min(SHARED, shared)
+    order = np.lexsort((labels, levels[labels >> np.uint64(64 - CELL_BITS)]))
+    return labels[order[: n - shared + wanted]], wanted
 
 
 def _words_of(cell) -> np.ndarray:
@@ -256,37 +265,40 @@ def _words_of(cell) -> np.ndarray:
 
 
 def _prefixes(members: DataFrame, similarity: float) -> DataFrame:
-    """(id, n, at, gram): the prefix of each of members (id, words), at being the gram's place in it."""
-    k = prefix_gram(similarity)
+    """(id, n, c, gram): the prefix of each of members (id, words), of which any similar text shares c words; those of
+    one text only are left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, dtype=np.int64)
         for batch in batches:
             for cell in batch.column(1):
                 words = _words_of(cell)
-                if len(words) >= k:
-                    total += np.bincount((labelled(words, k) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
+                if len(words):
+                    np.add.at(total, (labelled(words, 1) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
-    found = members.select("id", "words").mapInArrow(count, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # at most 2**CELL_BITS rows
-    counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    counts[found["cell"].to_numpy()] = found["c"].to_numpy()
-    held = members.sparkSession.sparkContext.broadcast(counts)
+    found = members.select("id", "words").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2**CELL_BITS rows
+    levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)  # 1 says that nothing else has the word; else a level of rarity
+    counts = found["n"].to_numpy()
+    levels[found["cell"].to_numpy()] = np.where(counts == 1, 1, np.minimum(255, 1 + 4 * np.log2(counts))).astype(np.uint8)
+    held = members.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, len(batch), 256):
                 part = batch.slice(low, 256)
-                words = [_words_of(x) for x in part.column(1)]
-                grams = [prefix(w, held.value, similarity) for w in words]
+                words, grams, wanted = [_words_of(x) for x in part.column(1)], [], []
+                for w in words:
+                    own, c = prefix(w, held.value, similarity)
+                    grams.append(own[held.value[own >> np.uint64(64 - CELL_BITS)] > 1])
+                    wanted.append(c)
                 sizes = np.array([len(g) for g in grams])
                 ids = np.repeat(np.array(part.column(0).to_pylist(), dtype=np.int64), sizes)
-                places = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
-                lengths = np.repeat(np.array([len(w) for w in words], dtype=np.int32), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lengths), pa.array(places), pa.array(np.concatenate(grams).view(np.int64))], ["id", "n", "at", "gram"])
+                lengths, least = (np.repeat(np.array(x, dtype=np.int32), sizes) for x in ([len(w) for w in words], wanted))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lengths), pa.array(least), pa.array(np.concatenate(grams).view(np.int64))], ["id", "n", "c", "gram"])
 
-    return members.select("id", "words").mapInArrow(run, "id long, n int, at int, gram long")
+    return members.select("id", "words").mapInArrow(run, "id long, n int, c int, gram long")
 
 
 def _undecided(met: DataFrame, roots: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -295,28 +307,31 @@ def _undecided(met: DataFrame, roots: DataFrame, words: DataFrame, similarity: f
     placed = common.cut(met.join(F.broadcast(roots) if few else roots, F.col("rep") == F.col("v"), "left").select("key", "rep", "n_words", F.coalesce("root", "rep").alias("root")))
     split = common.cut(placed.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"), "c"))
     left = common.cut(common.matched(placed, split, F.col("key") == F.col("k"), "inner").select("key", "rep", "n_words", "root", "c"))
-    common.release(met.sparkSession)
     small = left.where(f"c <= {ALL_PAIRS}").groupBy("key").agg(F.collect_list(F.struct("rep", "n_words", "root")).alias("g"))
     pairs = small.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> x.rep < y.rep and x.root <> y.root), y -> struct(x.rep as a, x.n_words as na, y.rep as b, y.n_words as nb))))")).alias("p")).select("p.*")
-    pairs = pairs.where(f"least(na, nb) >= {similarity} * greatest(na, nb)").select("a", "b")
+    pairs = pairs.where(f"least(na, nb) >= {similarity!r}D * greatest(na, nb)").select("a", "b")
     many = common.cut(left.where(f"c > {ALL_PAIRS}").select("rep", F.col("root").alias("r")).distinct())
     if many.isEmpty():
         return pairs.distinct()
-    k = prefix_gram(similarity)
-    grams = _prefixes(common.matched(words, many, F.col("id") == F.col("rep"), "left_semi"), similarity)
-    grams = common.cut(common.matched(grams, many, F.col("id") == F.col("rep"), "inner").select("id", "r", "n", "at", "gram"))
+    del left, split, placed
     common.release(met.sparkSession)
-    # a gram of one component only has no pair to try
+    grams = _prefixes(common.matched(words, many, F.col("id") == F.col("rep"), "left_semi"), similarity)
+    grams = _stored(common.matched(grams, many, F.col("id") == F.col("rep"), "inner").select("id", "r", "n", "c", "gram"))
+    # a word of one component only has no pair to try
     again = common.cut(grams.groupBy("gram").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(F.col("gram").alias("g")))
-    grams = common.cut(common.matched(grams, again, F.col("gram") == F.col("g"), "left_semi"))
-    del again
     common.release(met.sparkSession)
-    one, two = (grams.select("gram", *[F.col(c).alias(f"{c}{i}") for c in ("id", "r", "n", "at")]) for i in (1, 2))
-    # the first gram that two texts share leaves them enough others after it
-    longest = "greatest(n1, n2)"
-    needed = f"{longest} - {k - 1} - {k} * cast(floor({1 - similarity} * {longest} + 1e-9) as int)"
-    near = f"id1 < id2 and r1 <> r2 and least(n1, n2) >= {similarity} * {longest} and least(n1 - at1, n2 - at2) - {k - 1} >= {needed}"
-    return pairs.unionByName(one.join(two, "gram").where(near).select(F.col("id1").alias("a"), F.col("id2").alias("b"))).distinct()
+    grams = common.matched(grams, again, F.col("gram") == F.col("g"), "left_semi")
+    one, two = (grams.select("gram", *[F.col(c).alias(f"{c}{i}") for c in ("id", "r", "n", "c")]) for i in (1, 2))
+    near = f"id1 < id2 and r1 <> r2 and least(n1, n2) >= {similarity!r}D * greatest(n1, n2)"
+    both = one.join(two, "gram").where(near).groupBy(F.col("id1").alias("a"), F.col("id2").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("c1", "c2")).alias("c"))
+    return pairs.unionByName(both.where("m >= c").select("a", "b")).distinct()
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """A compressed table in the shared folder."""
+    path = f"{common.checkpoint_dir(df.sparkSession).rstrip('/')}/grams-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -340,7 +355,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     buckets = common.cut(banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n_words")).alias("lead")).where("c > 1").select("key", F.col("lead.rep").alias("lead"), F.col("lead.n_words").alias("lead_words")))
     shared = common.cut(banded.join(buckets, "key").select("key", "rep", "n_words", "lead", "lead_words"))
     met = shared.select("key", "rep", "n_words")
-    near = f"least(n_words, lead_words) >= {similarity} * greatest(n_words, lead_words)"
+    near = f"least(n_words, lead_words) >= {similarity!r}D * greatest(n_words, lead_words)"
     stars = shared.where("rep <> lead").where(near).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     common.release(df.sparkSession)
     wanted = common.cut(shared.select(F.col("rep").alias("want")).distinct())
@@ -368,7 +383,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
         piece = Window.partitionBy("key", "piece").orderBy("n_words", "rep")
         chain = large.withColumn("piece", F.expr("floor(ln(greatest(n_words, 1)) * 50)")).withColumn("b", F.lead("rep").over(piece)).withColumn("nb", F.lead("n_words").over(piece)).where("b is not null")
         chain = chain.select(F.least("rep", "b").alias("a"), F.col("n_words").alias("na"), F.greatest("rep", "b").alias("b"), "nb")
-        pairs = pairs.unionByName(star).unionByName(chain).where(f"least(na, nb) >= {similarity} * greatest(na, nb)").select("a", "b").distinct()
+        pairs = pairs.unionByName(star).unionByName(chain).where(f"least(na, nb) >= {similarity!r}D * greatest(na, nb)").select("a", "b").distinct()
         fresh = common.cut(pairs.join(tried, ["a", "b"], "left_anti"))
         found = None if fresh.isEmpty() else _verify(fresh, words, similarity)
         if found is None or found.isEmpty():
@@ -378,7 +393,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     common.release(df.sparkSession)
     fresh = common.cut(_undecided(met, roots, words, similarity).join(tried, ["a", "b"], "left_anti"))
     if not fresh.isEmpty():
-        roots = _merged(roots, _verify(fresh, words, similarity))
+        roots = _merged(roots, _verify(fresh, words, similarity, PASSES))
     common.release(df.sparkSession)
     owner = members.select("same", "rep").join(roots, F.col("rep") == F.col("v"), "left").select(F.col("same").alias("owned"), F.coalesce("root", "rep").alias("class_id"))
     owner = common.cut(owner)
