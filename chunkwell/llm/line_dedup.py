@@ -34,7 +34,7 @@ SIMILARITY = 0.8
 #: Cells of the rarity table; one small number each travels in the plan.
 CELLS = 1 << 19
 #: Pairs of neighbouring words of its prefix, those of the smallest hashes, under which a line first looks for a witness.
-FIRST_PAIRS = 4
+FIRST_PAIRS = 3
 #: Passes of the join over the words, by hash: the shuffle of one pass is gone before the next one's is written.
 PASSES = 2
 #: Sizes and positions from here on pass the filters unseen.

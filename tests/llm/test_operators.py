@@ -408,7 +408,9 @@ def test_line_dedup_against_brute_force(spark):
     rows += [(None, pool[0], "s"), (500, None, "s"), (501, "", "s")]
     df = docs_of(spark, rows)
     lines, _ = line_dedup.repeated_lines(df)
-    got = {(x.id, x.line_no): x.gone for x in lines.collect()}
+    found = lines.collect()
+    own = dict(zip(sorted({x.id for x in found}), sorted(-1 if i is None else i for i, _, _ in rows), strict=True))  # a null id: rows are numbered
+    got = {(None if own[x.id] < 0 else own[x.id], x.line_no): x.gone for x in found}
     every = sorted(((-1 if i is None else i, k, frozenset(x.split()), i) for i, t, _ in rows for k, x in enumerate((t or "").split("\n"))), key=lambda x: x[:2])
     for n, (_, k, words, i) in enumerate(every):
         want = any(words and w and 5 * len(words & w) >= 4 * len(words | w) for _, _, w, _ in every[:n])
@@ -418,6 +420,25 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.repeated_lines(empty(df))[0].count() == 0
 
 
+def test_line_dedup_at_other_similarities_and_with_repeated_ids(spark):
+    r, rows = random.Random(5), [(None, "x y z w v"), (None, "x y z w v"), (1, "a b c d e f\n\nq"), (1, "fresh words alone here now"), (2, "a b c d\na b c"), (2, None)]
+    base = [f"w{i}" for i in range(30)]
+    for i in range(25):
+        words = base[: r.randint(4, 30)]
+        for _ in range(r.randint(0, 4)):
+            words[r.randrange(len(words))] = f"n{r.randrange(40)}"
+        rows.append((10 + i % 20, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).repartition(3)
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.sha256((x[1] or "").encode()).hexdigest()))
+    every = [(i, k, set(x.split())) for i, (_, t) in enumerate(order) for k, x in enumerate((t or "").split("\n"))]
+    for similarity in (0.6, 0.7, 0.9, 1.0):
+        want = {(i, k) for n, (i, k, w) in enumerate(every) if w and any(u and len(u & w) >= similarity * len(u | w) - 1e-9 for _, _, u in every[:n])}
+        found = line_dedup.repeated_lines(df, similarity=similarity)[0].collect()
+        at = {x: n for n, x in enumerate(sorted({x.id for x in found}))}
+        assert {(at[x.id], x.line_no) for x in found if x.gone} == want
+    assert "fresh words alone here now" in {x.text for x in line_dedup.remove_repeated_lines(df).collect()}
+
+
 # ---- WARC
 
 
