@@ -112,9 +112,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without any benchmark window, with all their columns."""
-    gone = decontaminate(docs, items, id_col, text_col).where("contaminated").select(id_col)
-    return common.drop_ids(docs, gone, id_col)
+    """The rows of docs without any benchmark window, with all their columns; rows that share an id, or have none, are
+    judged and dropped each by its own text."""
+    keyed = common.keyed(docs, id_col, text_col)
+    found = decontaminate(keyed.select("key", F.col("row")[text_col].alias("text")), items, "key", "text")
+    gone = common.cut(found.where("contaminated").select(F.col("key").alias("gone")))
+    kept = common.matched(keyed, gone, F.col("key") == F.col("gone"), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,6 +393,14 @@ def test_shards_against_a_plain_sort(spark, monkeypatch):
 # ---- line dedup
 
 
+def test_clean_drops_rows_not_ids(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"x {item} y", "s"), (1, "clean text of the same id", "s"), (None, item, "s"), (None, "no id", "s"), (None, None, "s"), (2, "other", "s")]
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    kept = decontaminate.clean(docs_of(spark, rows).withColumn("key", F.lit("clash")), items).collect()
+    assert sorted((x.doc_id or 0, x.text or "", x.key) for x in kept) == [(0, "", "clash"), (0, "no id", "clash"), (1, "clean text of the same id", "clash"), (2, "other", "clash")]
+
+
 def test_line_dedup_against_brute_force(spark):
     r = random.Random(13)
     pool = [prose(r, r.choice([1, 3, 5, 8, 20, 40])) for _ in range(60)]
