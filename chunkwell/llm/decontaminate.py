@@ -10,7 +10,7 @@ A bounded bitmap of the kept test k-grams is tested before the training side's w
 ranked only around k-grams that the test side has; that changes the work, not the result.
 
 Results for the unusual cases: null and empty texts have no words and are clean; items without words match
-nothing; rows that repeat a doc_id are judged each by its own text; items repeated under one item_id count once;
+nothing; a null item_id counts as one item and has no place in the list of ids; rows that repeat a doc_id are judged each by its own text; items repeated under one item_id count once;
 an empty documents table gives an empty result, an empty benchmark a clean one; other columns are not read.
 """
 
@@ -95,7 +95,8 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, kgram: int = KGRAM) -> DataFrame:
     """Per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans, items."""
     base, spans = find_windows(docs, items, id_col, text_col, item_col, item_text, window, kgram)
-    found = spans.groupBy(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(F.collect_set(F.struct("low", "high")).alias("hit_spans"), F.collect_set("item").alias("items"))
+    found = spans.groupBy(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).agg(F.collect_set(F.struct("low", "high")).alias("hit_spans"), F.collect_set(F.struct("item")).alias("items"))
+    found = found.withColumn("items", F.transform("items", lambda x: x["item"]))  # a null id is an item too
     found = found.withColumn("n_hit", F.expr("cast(size(array_distinct(flatten(transform(hit_spans, s -> sequence(s.low, s.high - 1))))) as long)"))
     joined = base.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     names = "array_join(array_sort(transform(items, x -> cast(x as string))), ',')"

@@ -11,7 +11,7 @@ bounded size, so one source with a third of all rows is many blocks.
 
 Results for the unusual cases: a null source is a source of its own; null and blank texts have no tokens, and such
 rows ride along with whole passes and with the partial pass they fall into; rows that repeat are drawn one by one;
-an empty table gives an empty result, one without tokens comes back with each row once; extra columns pass through ``mix``.
+a budget that asks for more passes over all sources than the limit is an error; an empty table gives an empty result, one without tokens comes back with each row once; extra columns pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -65,8 +65,10 @@ def solve(tokens: list[int], entropy_share: float = ENTROPY_SHARE, max_passes: f
 
     exponent = 1.0 if entropy(weights(live, 1.0)) >= target else bisect(lambda a: entropy(weights(live, a)) < target)
     passes = lambda a: max(w * budget / n for w, n in zip(weights(live, a), live, strict=True))
+    if passes(1.0) > max_passes + 1e-9:
+        raise ValueError(f"a budget of {budget} tokens takes more than {max_passes} passes over {sum(live)} tokens")
     if passes(exponent) > max_passes:
-        exponent = 1.0 if passes(1.0) > max_passes else 1.0 - bisect(lambda b: passes(1.0 - b) > max_passes)
+        exponent = 1.0 - bisect(lambda b: passes(1.0 - b) > max_passes)
     return exponent
 
 

@@ -393,6 +393,19 @@ def test_shards_against_a_plain_sort(spark, monkeypatch):
 # ---- line dedup
 
 
+def test_null_item_ids_count_as_one_item(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(None, item), (3, item)], "item_id long, text string")
+    row = decontaminate.decontaminate(docs_of(spark, [(1, item, "s")]), items).first()
+    assert (row.n_hit, row.n_items, row.items_sha256) == (12, 2, hashlib.sha256(b"3").hexdigest())
+
+
+def test_a_budget_beyond_the_repetition_limit_is_an_error():
+    assert mixing.solve([10, 90], 1.0, 1.0, 100) == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        mixing.solve([10, 90], 1.0, 4.0, 500)
+
+
 def test_clean_drops_rows_not_ids(spark):
     item = " ".join(f"w{i}" for i in range(12))
     rows = [(1, f"x {item} y", "s"), (1, "clean text of the same id", "s"), (None, item, "s"), (None, "no id", "s"), (None, None, "s"), (2, "other", "s")]
