@@ -11,7 +11,7 @@ the smallest member; a pair is a link if the banded edit distance of the word se
 longer one (similarity of 0.8 or more). Buckets whose members are still in several components are compared again
 by one representative per component: all pairs of up to 16, a star and a chain of neighbours beyond. These rounds
 only save work. At the end every pair of a bucket that is still in two components is decided: in buckets of up to
-16 members each pair is tried, in larger ones each pair that shares six of the rarest words of both texts
+16 members each pair is tried, in larger ones each pair that shares sixteen of the rarest word pairs of both texts
 (a prefix filter, which no two similar texts fail). So no link within a bucket is lost, and a frequent passage
 does not make its bucket emit its square.
 
@@ -23,6 +23,7 @@ table gives an empty result; a null doc_id is its own class, is kept, and takes
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -47,8 +48,8 @@ ROUNDS = 8
 PASSES = 4
 #: Hash cells of the counts that order words by rarity, as a power of two; any order is exact.
 CELL_BITS = 20
-#: Rare words that two texts must share to be verified, fewer only where a text is shorter; prefixes grow by as many.
-SHARED = 6
+#: Rare runs of words that two texts must share to be verified, fewer only where a text is shorter; prefixes grow by as many.
+SHARED = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -243,21 +244,29 @@ def _verify(pairs: DataFrame, words: DataFrame, similarity: float, passes: int =
     return found
 
 
+def run_words(similarity: float) -> int:
+    """Words of a run in the prefix filter: pairs, or single words where similar texts need not share any pair."""
+    return 2 if similarity >= 0.75 else 1
+
+
 def least_shared(n: int, similarity: float) -> int:
-    """Words (with their occurrence numbers) that a text of n words shares at least with any similar one: each word of
-    the longer text that the other lacks is an edit."""
-    return n - int((1 - similarity) * n + 1e-9)
+    """Runs (with their occurrence numbers) that a text of n words shares at least with any similar one of other words:
+    each edit takes at most as many runs from the longer text as a run has words."""
+    k = run_words(similarity)
+    return max(1, math.ceil((1 - k * (1 - similarity)) * n - k + 1 - 1e-6))
 
 
 def prefix(words: np.ndarray, levels: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
-    """The rarest labelled words of a text, as many as make any similar text share the returned number of them."""
-    n = len(words)
-    if not n:
+    """The rarest labelled runs of a text, as many as make any similar text share the returned number of them; runs
+    are ordered by their rarest word, and those of a word that no other text has are left out."""
+    k = run_words(similarity)
+    if len(words) < k:
         return np.empty(0, dtype=np.uint64), 0
-    labels, shared = labelled(words, 1), max(1, least_shared(n, similarity))
-    wanted = min(SHARED, shared)
-    order = np.lexsort((labels, levels[labels >> np.uint64(64 - CELL_BITS)]))
-    return labels[order[: n - shared + wanted]], wanted
+    labels, shared = labelled(words, k), least_shared(len(words), similarity)
+    wanted, own = min(SHARED, shared), levels[_mix(words) >> np.uint64(64 - CELL_BITS)]
+    rarest = own if k == 1 else np.minimum(own[:-1], own[1:])
+    order = np.lexsort((labels, rarest))[: max(0, len(labels) - shared + wanted)]
+    return labels[order[rarest[order] != 1]], wanted
 
 
 def _words_of(cell) -> np.ndarray:
@@ -274,12 +283,12 @@ def _prefixes(members: DataFrame, similarity: float) -> DataFrame:
             for cell in batch.column(1):
                 words = _words_of(cell)
                 if len(words):
-                    np.add.at(total, (labelled(words, 1) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+                    np.add.at(total, (_mix(words) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
     found = members.select("id", "words").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2**CELL_BITS rows
-    levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)  # 1 says that nothing else has the word; else a level of rarity
+    levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)  # 1 says that the word is there once; else a level of rarity
     counts = found["n"].to_numpy()
     levels[found["cell"].to_numpy()] = np.where(counts == 1, 1, np.minimum(255, 1 + 4 * np.log2(counts))).astype(np.uint8)
     held = members.sparkSession.sparkContext.broadcast(levels)
@@ -291,7 +300,7 @@ def _prefixes(members: DataFrame, similarity: float) -> DataFrame:
                 words, grams, wanted = [_words_of(x) for x in part.column(1)], [], []
                 for w in words:
                     own, c = prefix(w, held.value, similarity)
-                    grams.append(own[held.value[own >> np.uint64(64 - CELL_BITS)] > 1])
+                    grams.append(own)
                     wanted.append(c)
                 sizes = np.array([len(g) for g in grams])
                 ids = np.repeat(np.array(part.column(0).to_pylist(), dtype=np.int64), sizes)
