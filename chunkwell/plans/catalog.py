@@ -353,7 +353,7 @@ def o64(spark, sf):
 # ---- packing, plans, reconstruction
 
 
-_PACK = """WITH RECURSIVE c AS (SELECT l_suppkey AS grp, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS pos, l_partkey AS chunk_hash, CAST(l_quantity AS BIGINT) AS chunk_size, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS tag FROM lineitem WHERE l_quantity > 40 OR l_returnflag <> 'N'),
+_PACK = """WITH RECURSIVE c AS (SELECT l_suppkey AS grp, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS pos, l_partkey AS chunk_hash, CAST(l_quantity AS BIGINT) AS chunk_size, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS tag FROM lineitem),
 w AS (
   SELECT grp, pos, chunk_hash, chunk_size, tag, chunk_size AS bytes, 1 AS n, 0 AS block FROM c WHERE pos = 0
   UNION ALL
@@ -372,12 +372,6 @@ def _packed(items):
 
 @query("o31_pack_blocks", f"{_PACK} SELECT grp, min(pos) AS first_pos, count(*) AS chunks, CAST(sum(chunk_size) AS BIGINT) AS bytes FROM w GROUP BY grp, block")
 def o31(spark, sf):
-    packed = _packed(t.read(spark, sf, "lineitem").where("l_quantity > 40 or l_returnflag <> 'N'"))
-    return packed.groupBy("grp", "run", "block").agg(F.min("pos").alias("first_pos"), F.count("*").alias("chunks"), F.sum("chunk_size").alias("bytes")).drop("run", "block")
-
-
-@query("o31_pack_all_blocks")
-def o31_all(spark, sf):
     packed = _packed(t.read(spark, sf, "lineitem"))
     return packed.groupBy("grp", "run", "block").agg(F.min("pos").alias("first_pos"), F.count("*").alias("chunks"), F.sum("chunk_size").alias("bytes")).drop("run", "block")
 

@@ -52,7 +52,7 @@ def test_all_blocks_are_packed_as_by_a_plain_loop(spark):
         blocks[-1][2] += 1
         blocks[-1][3] += size
         last = (grp, tag)
-    out = catalog.queries()["o31_pack_all_blocks"](spark, SF).collect()
+    out = catalog.queries()["o31_pack_blocks"](spark, SF).collect()
     assert sum(r.chunks for r in out) == len(items)
     assert sorted([r.grp, r.first_pos, r.chunks, r.bytes] for r in out) == sorted(blocks)
 
