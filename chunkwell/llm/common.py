@@ -68,10 +68,10 @@ def bitmap_literal(found: list[tuple[int, int]], words: int) -> str:
     return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)"
 
 
-def matched(df: DataFrame, keys: DataFrame, on: Column, how: str) -> DataFrame:
-    """Join df with a checkpointed table of keys: broadcast while the keys' number is within BROADCAST_KEYS, beyond
+def matched(df: DataFrame, keys: DataFrame, on: Column, how: str, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Join df with a checkpointed table of keys: broadcast while the keys' number is within ``most``, beyond
     that shuffled. keys are unique, so neither way repeats rows."""
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+    return df.join(F.broadcast(keys) if keys.count() <= most else keys, on, how)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -6,14 +6,17 @@ back into text order; that ordered pair is one band, so both shared content and
 A pair at the threshold shares few k-mers and may miss all those bands, so the smallest run of four words under
 each hash function is a band of a second family.
 
-Texts of equal words are one member from the start. Bands shared by several members are compared star-wise with
-the smallest member; a pair is a link if the banded edit distance of the word sequences is at most a fifth of the
-longer one (similarity of 0.8 or more). Buckets whose members are still in several components are compared again
-by one representative per component: all pairs of up to 16, a star and a chain of neighbours beyond. These rounds
-only save work. At the end every pair of a bucket that is still in two components is decided: in buckets of up to
-16 members each pair is tried, in larger ones each pair that shares sixteen of the rarest word pairs of both texts
-(a prefix filter, which no two similar texts fail). So no link within a bucket is lost, and a frequent passage
-does not make its bucket emit its square.
+Texts of equal words are one member from the start. The members of a band's bucket are compared with the smallest
+one first; a pair is a link if the banded edit distance of the word sequences is at most a fifth of the longer one
+(similarity of 0.8 or more). Then every pair of a bucket whose members still lie in two components is decided.
+
+Before a pair's words are fetched, it must pass a filter that no two similar texts fail: each member has a bitmap of its
+words with their occurrence numbers, two to four bits for each word, and the common bits (and what may lie in one bit)
+bound the words that two texts share. Buckets of more than 16 members are compared by these bitmaps as blocks, each a
+matrix product over members in order of length within one task, and only pairs that pass become rows. So no link within a bucket is
+lost, and a frequent passage does not make its bucket emit its square; what grows with the square is the product of bits.
+Where many pairs pass, those of each member's most similar partner are verified first, and then only pairs that still
+lie in two components.
 
 Results for the unusual cases: null, blank and word-less texts are equal to each other; texts of under five words
 are one k-mer; of every class the smallest doc_id stays; rows that repeat a doc_id are one document; an empty
@@ -24,12 +27,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,12 +42,24 @@ SKETCHES = 24
 #: Words of a run in the second family of bands.
 SHORT_KGRAM = 4
 SIMILARITY = 0.8
-#: Representatives or members of one bucket that are compared each with each.
+#: Members of one bucket whose pairs are listed one by one; larger buckets are compared as blocks.
 ALL_PAIRS = 16
-#: Rounds by representatives at most; they only save work.
-ROUNDS = 8
-#: Passes in which the last pairs are verified.
-PASSES = 4
+#: Members in a block's side at most, about; a task compares two sides.
+SLICE = 16_384
+#: Bits in a bitmap: the power of two from twice the words, within these.
+FEWEST_BITS, MOST_BITS = 512, 1 << 17
+#: Cells of a bit matrix that is unpacked at once.
+UNPACKED = 1 << 21
+#: Bytes of words that are broadcast at most, for many pairs of few texts.
+BROADCAST_BYTES = 1 << 23
+#: Bytes of pairs' words that are shuffled at once, about; or twice the words themselves, if these are more.
+AT_ONCE = 1 << 28
+#: Pairs above which those of each member's most similar partner are verified first; they only save work.
+MANY_PAIRS = 10_000
+#: Such rounds before all pairs left are verified.
+ROUNDS = 2
+#: Keys that are broadcast at most; each broadcast passes through the driver.
+BROADCAST_KEYS = 200_000
 #: Hash cells of the counts that order words by rarity, as a power of two; any order is exact.
 CELL_BITS = 20
 #: Rare runs of words that two texts must share to be verified, fewer only where a text is shorter; prefixes grow by as many.
@@ -205,14 +219,94 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return banded_distance(a.tolist(), b.tolist(), most) <= most
 
 
+def bitmap(words: np.ndarray) -> bytes:
+    """One bit for each word with its occurrence number, at its hash modulo the bitmap's size."""
+    size = min(MOST_BITS, max(FEWEST_BITS, 1 << max(0, 2 * len(words) - 1).bit_length()))
+    held = np.zeros(size, dtype=bool)
+    if len(words):
+        held[labelled(words, 1) & np.uint64(size - 1)] = True
+    return np.packbits(held).tobytes()
+
+
+def _unpacked(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """The bitmaps as rows of ``size`` bits; longer ones are folded, which is taking the hash modulo a smaller size."""
+    out = np.empty((len(bitmaps), size), dtype=np.uint8)
+    for i, packed in enumerate(bitmaps):
+        bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8))
+        out[i] = bits if len(bits) == size else bits.reshape(-1, size).max(axis=0)
+    return out
+
+
+def needed(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Words that a text of n words shares with any similar one of at most n."""
+    return n - ((1 - similarity) * n + 1e-9).astype(np.int64)
+
+
+def margin(n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes], similarity: float) -> np.ndarray:
+    """For each pair of texts of n and m words with these bitmaps, the most words that they can share above those needed:
+    under 0 only if they cannot be similar."""
+    out = np.zeros(len(n), dtype=np.int32)
+    sizes = np.array([min(len(x), len(y)) * 8 for x, y in zip(bits, others, strict=True)], dtype=np.int64)
+    for size in np.unique(sizes):
+        chosen = np.flatnonzero(sizes == size)
+        step = max(16, UNPACKED // int(size))
+        for low in range(0, len(chosen), step):
+            at = chosen[low : low + step]
+            one, two = _unpacked([bits[i] for i in at], int(size)), _unpacked([others[i] for i in at], int(size))
+            spare = np.minimum(n[at] - one.sum(axis=1, dtype=np.int64), m[at] - two.sum(axis=1, dtype=np.int64))
+            out[at] = (one & two).sum(axis=1, dtype=np.int64) + spare - needed(np.maximum(n[at], m[at]), similarity)
+    return out
+
+
+def block_pairs(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: list[bytes], sides: np.ndarray | None, similarity: float, keys: np.ndarray | None = None, key: int = 0) -> tuple[np.ndarray, ...]:
+    """The pairs (smaller id, larger id, margin) of a block that may be similar and have two roots; with sides given, also two
+    sides; with each member's bands in keys, only pairs whose first common band is this bucket's key, as the other buckets
+    that they share have them otherwise. Members go in order of length: each is compared with those that are longer, but
+    short enough."""
+    order = np.argsort(n, kind="stable")
+    ids, roots, n, bits = ids[order], roots[order], n[order], [bits[i] for i in order]
+    sides, keys = None if sides is None else sides[order], None if keys is None else keys[order]
+    sizes = np.array([len(x) * 8 for x in bits], dtype=np.int64)
+    need, found = needed(n, similarity), [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32))]
+    low = 0
+    while low < len(n):
+        size = int(sizes[low])
+        step = max(16, UNPACKED // size)
+        high = min(low + min(step, 512), int(np.searchsorted(sizes, size, "right")))
+        last = int(np.searchsorted(need, n[high - 1], "right"))
+        if (roots[low:last] != roots[low]).any():
+            rows = _unpacked(bits[low:high], size).astype(np.float32)
+            spare = n[low:high] - rows.sum(axis=1).astype(np.int64)
+            for start in range(low, last, step):
+                end = min(start + step, last)
+                columns = _unpacked(bits[start:end], size).astype(np.float32)
+                least = need[start:end] - np.minimum(spare[:, None], (n[start:end] - columns.sum(axis=1).astype(np.int64))[None, :])
+                above = rows @ columns.T - least
+                x, y = np.nonzero(above >= 0)
+                above, x, y = above[x, y].astype(np.int32), x + low, y + start
+                keep = (x < y) & (roots[x] != roots[y]) & (ids[x] != ids[y])
+                if sides is not None:
+                    keep &= sides[x] != sides[y]
+                above, x, y = above[keep], x[keep], y[keep]
+                for part in range(0, len(x), 16_384):
+                    p, q, a = (v[part : part + 16_384] for v in (x, y, above))
+                    if keys is not None:
+                        here = keys[p, (keys[p] == keys[q]).argmax(axis=1)] == key
+                        p, q, a = p[here], q[here], a[here]
+                    found.append((np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), a))
+        low = high
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, rows = batch.column(0), []
         for text in batch.column(1):
             data = normal(text.as_py())
             words = word_hashes(data)
-            rows.append((hashlib.blake2b(b" ".join(data.split()), digest_size=16).digest(), len(words), bands(words)))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["id", "same", "n_words", "keys"])
+            rows.append((hashlib.blake2b(b" ".join(data.split()), digest_size=16).digest(), len(words), bands(words), bitmap(words >> np.uint64(32))))
+        kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]], ["id", "same", "n_words", "keys", "bits"])
 
 
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,17 +324,44 @@ def _verifier(similarity: float):
     return run
 
 
-def _verify(pairs: DataFrame, words: DataFrame, similarity: float, passes: int = 1) -> DataFrame:
-    """The similar ones of the checkpointed pairs (a, b); words are shuffled for one pass's share of them at a time."""
-    found = None
+def _matched(df: DataFrame, keys: DataFrame, on, how: str) -> DataFrame:
+    return common.matched(df, keys, on, how, BROADCAST_KEYS)
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps in sketches (id, n, bits, keys) allow that they are similar, with their margin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+            above = margin(n, batch.column(3).to_pylist(), m, batch.column(5).to_pylist(), similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(above)], ["a", "b", "above"]).filter(pa.array(above >= 0))
+
+    one, two = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(run, "a long, b long, above int")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The similar ones of the checkpointed pairs (a, b) of docs (id, text); their words are shuffled for a bounded number of
+    pairs at a time. An id that several texts have is similar if one of them is."""
+    wanted = common.cut(pairs.select(F.col("a").alias("want")).distinct().unionByName(pairs.select(F.col("b").alias("want")).distinct()).distinct())
+    words = common.cut(_matched(docs, wanted, F.col("id") == F.col("want"), "left_semi").mapInArrow(_hash_rows, "id long, words binary"))
+    rows, volume = words.agg(F.count("*"), F.sum(F.length("words"))).first()
+    if rows > wanted.count():
+        words = common.cut(words.distinct())
+    n, volume, found = pairs.count(), volume or 0, None
+    few = volume <= BROADCAST_BYTES
+    passes = 1 if few else math.ceil(n * volume / rows / max(AT_ONCE, 2 * volume))
+    if few:  # no shuffle of words would spread the pairs
+        pairs = pairs.repartition(max(1, min(200, n // 500)), "a", "b")
     for number in range(passes):
         one, two = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
         part = pairs if passes == 1 else pairs.where(f"pmod(hash(a, b), {passes}) = {number}")
+        one, two = (F.broadcast(one), F.broadcast(two)) if few else (one, two)
         part = common.cut(part.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(_verifier(similarity), "a long, b long"))
         found = part if found is None else found.unionByName(part)
-        if passes > 1:
-            del part, one, two
-            common.release(pairs.sparkSession)
+        del part, one, two
+        common.release(pairs.sparkSession)
     return found
 
 
@@ -269,144 +390,87 @@ def prefix(words: np.ndarray, levels: np.ndarray, similarity: float) -> tuple[np
     return labels[order[rarest[order] != 1]], wanted
 
 
-def _words_of(cell) -> np.ndarray:
-    return np.frombuffer(cell.as_py(), dtype=np.uint32).astype(np.uint64)
+def _blocks(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        ids, roots, n, sides, i, j = (table[c].to_numpy() for c in ("rep", "root", "n", "side", "i", "j"))
+        keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        one, two, above = block_pairs(ids, roots, n.astype(np.int64), table["bits"].to_pylist(), None if i[0] == j[0] else sides, similarity, keys, table["key"][0].as_py())
+        return pa.table({"a": one, "b": two, "above": above})
 
+    return run
 
-def _prefixes(members: DataFrame, similarity: float) -> DataFrame:
-    """(id, n, c, gram): the prefix of each of members (id, words), of which any similar text shares c words; those of
-    one text only are left out."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, dtype=np.int64)
-        for batch in batches:
-            for cell in batch.column(1):
-                words = _words_of(cell)
-                if len(words):
-                    np.add.at(total, (_mix(words) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
-
-    found = members.select("id", "words").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2**CELL_BITS rows
-    levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)  # 1 says that the word is there once; else a level of rarity
-    counts = found["n"].to_numpy()
-    levels[found["cell"].to_numpy()] = np.where(counts == 1, 1, np.minimum(255, 1 + 4 * np.log2(counts))).astype(np.uint8)
-    held = members.sparkSession.sparkContext.broadcast(levels)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, len(batch), 256):
-                part = batch.slice(low, 256)
-                words, grams, wanted = [_words_of(x) for x in part.column(1)], [], []
-                for w in words:
-                    own, c = prefix(w, held.value, similarity)
-                    grams.append(own)
-                    wanted.append(c)
-                sizes = np.array([len(g) for g in grams])
-                ids = np.repeat(np.array(part.column(0).to_pylist(), dtype=np.int64), sizes)
-                lengths, least = (np.repeat(np.array(x, dtype=np.int32), sizes) for x in ([len(w) for w in words], wanted))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lengths), pa.array(least), pa.array(np.concatenate(grams).view(np.int64))], ["id", "n", "c", "gram"])
-
-    return members.select("id", "words").mapInArrow(run, "id long, n int, c int, gram long")
-
-
-def _undecided(met: DataFrame, roots: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the pairs in the buckets met (key, rep, n_words) that may be similar and lie in two components."""
-    few = roots.count() <= common.BROADCAST_KEYS
-    placed = common.cut(met.join(F.broadcast(roots) if few else roots, F.col("rep") == F.col("v"), "left").select("key", "rep", "n_words", F.coalesce("root", "rep").alias("root")))
+def _undecided(met: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, above): the pairs in the buckets met (key, rep, n_words) that may be similar and lie in two components."""
+    placed = _matched(met, roots, F.col("rep") == F.col("v"), "left").select("key", "rep", "n_words", F.coalesce("root", "rep").alias("root"))
     split = common.cut(placed.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"), "c"))
-    left = common.cut(common.matched(placed, split, F.col("key") == F.col("k"), "inner").select("key", "rep", "n_words", "root", "c"))
+    left = common.cut(_matched(placed, split, F.col("key") == F.col("k"), "inner").select("key", "rep", "n_words", "root", "c"))
     small = left.where(f"c <= {ALL_PAIRS}").groupBy("key").agg(F.collect_list(F.struct("rep", "n_words", "root")).alias("g"))
     pairs = small.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> x.rep < y.rep and x.root <> y.root), y -> struct(x.rep as a, x.n_words as na, y.rep as b, y.n_words as nb))))")).alias("p")).select("p.*")
-    pairs = pairs.where(f"least(na, nb) >= {similarity!r}D * greatest(na, nb)").select("a", "b")
-    many = common.cut(left.where(f"c > {ALL_PAIRS}").select("rep", F.col("root").alias("r")).distinct())
-    if many.isEmpty():
-        return pairs.distinct()
-    del left, split, placed
-    common.release(met.sparkSession)
-    grams = _prefixes(common.matched(words, many, F.col("id") == F.col("rep"), "left_semi"), similarity)
-    grams = _stored(common.matched(grams, many, F.col("id") == F.col("rep"), "inner").select("id", "r", "n", "c", "gram"))
-    # a word of one component only has no pair to try
-    again = common.cut(grams.groupBy("gram").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(F.col("gram").alias("g")))
-    common.release(met.sparkSession)
-    grams = common.matched(grams, again, F.col("gram") == F.col("g"), "left_semi")
-    one, two = (grams.select("gram", *[F.col(c).alias(f"{c}{i}") for c in ("id", "r", "n", "c")]) for i in (1, 2))
-    near = f"id1 < id2 and r1 <> r2 and least(n1, n2) >= {similarity!r}D * greatest(n1, n2)"
-    both = one.join(two, "gram").where(near).groupBy(F.col("id1").alias("a"), F.col("id2").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("c1", "c2")).alias("c"))
-    return pairs.unionByName(both.where("m >= c").select("a", "b")).distinct()
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """A compressed table in the shared folder."""
-    path = f"{common.checkpoint_dir(df.sparkSession).rstrip('/')}/grams-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    pairs = common.cut(pairs.where(f"least(na, nb) >= {similarity!r}D * greatest(na, nb) - 1e-6D").select("a", "b").distinct())
+    # a large bucket is dealt into slices, and each two slices (or one with itself) are a block
+    sliced = left.where(f"c > {ALL_PAIRS}").withColumn("s", F.expr(f"cast(ceil(c / {SLICE}) as int)")).withColumn("side", F.expr("cast(pmod(xxhash64(rep), s) as int)"))
+    sliced = sliced.join(sketches, F.col("rep") == F.col("id")).select("key", "rep", "root", "n", "bits", "keys", "side", F.explode(F.expr("sequence(0, s - 1)")).alias("o"))
+    blocks = sliced.select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "rep", "root", "n", "bits", "keys", "side")
+    wide = blocks.groupBy("key", "i", "j").applyInArrow(_blocks(similarity), "a long, b long, above int")
+    return _likely(pairs, sketches, similarity).unionByName(wide).groupBy("a", "b").agg(F.max("above").alias("above"))
 
 
 def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
     """roots (v, root) after the links found: these join whole components and are contracted to their roots first."""
-    few = roots.count() <= common.BROADCAST_KEYS
-    ra, rb = roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
-    if few:
-        ra, rb = F.broadcast(ra), F.broadcast(rb)
-    lifted = found.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    over = components(lifted).select(F.col("v").alias("ov"), F.col("root").alias("oroot"))
-    merged = roots.join(over, F.col("root") == F.col("ov"), "left").select("v", F.coalesce("oroot", "root").alias("root"))
-    return common.cut(merged.unionByName(over.join(roots, F.col("ov") == F.col("v"), "left_anti").select(F.col("ov").alias("v"), F.col("oroot").alias("root"))))
+    ra, rb = roots.select(F.col("v").alias("va"), F.col("root").alias("ra")), roots.select(F.col("v").alias("vb"), F.col("root").alias("rb"))
+    lifted = _matched(_matched(found, ra, F.col("a") == F.col("va"), "left"), rb, F.col("b") == F.col("vb"), "left")
+    over = components(lifted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("v").alias("ov"), F.col("root").alias("oroot"))
+    merged = _matched(roots, over, F.col("root") == F.col("ov"), "left").select("v", F.coalesce("oroot", "root").alias("root"))
+    fresh = over.join(roots, F.col("ov") == F.col("v"), "left_anti").select(F.col("ov").alias("v"), F.col("oroot").alias("root"))
+    return common.cut(merged.unionByName(fresh))
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of df: id, class_id (smallest id of its class), kept."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = common.cut(docs.where("id is not null").mapInArrow(_sketch_rows, "id long, same binary, n_words long, keys array<long>"))
-    members = common.cut(sketched.groupBy("same").agg(F.min(F.struct("id", "n_words", "keys")).alias("m")).select(F.col("same"), F.col("m.id").alias("rep"), F.col("m.n_words").alias("n_words"), F.col("m.keys").alias("keys")))
-    banded = members.select("rep", "n_words", F.explode("keys").alias("key"))
-    buckets = common.cut(banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n_words")).alias("lead")).where("c > 1").select("key", F.col("lead.rep").alias("lead"), F.col("lead.n_words").alias("lead_words")))
-    shared = common.cut(banded.join(buckets, "key").select("key", "rep", "n_words", "lead", "lead_words"))
-    met = shared.select("key", "rep", "n_words")
-    near = f"least(n_words, lead_words) >= {similarity!r}D * greatest(n_words, lead_words)"
-    stars = shared.where("rep <> lead").where(near).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    sketched = common.cut(docs.where("id is not null").mapInArrow(_sketch_rows, "id long, same binary, n_words long, keys array<long>, bits binary"))
+    copies = common.cut(sketched.groupBy(F.col("same").alias("copy")).agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("copy", "rep"))
+    held = _matched(sketched, copies, F.col("same") == F.col("copy"), "left").where("rep is null or id = rep")
+    alone = held.where("rep is null").select("id", "n_words", "keys", "bits")
+    leads = held.where("rep is not null").groupBy("same").agg(F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("bits").alias("bits")).drop("same")
+    members = common.cut(alone.unionByName(leads))
+    sketches = members.select("id", F.col("n_words").alias("n"), "bits", "keys")
+    # one exchange, which the buckets and their members both read
+    banded = members.select(F.col("id").alias("rep"), "n_words", F.explode("keys").alias("key")).repartition("key")
+    buckets = banded.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c"), F.min(F.struct("rep", "n_words")).alias("lead")).where("c > 1").select("k", F.col("lead.rep").alias("lead"), F.col("lead.n_words").alias("lead_words"))
+    shared = common.cut(banded.join(buckets, F.col("key") == F.col("k")).select("key", "rep", "n_words", "lead", "lead_words"))
+    del banded, buckets
     common.release(df.sparkSession)
-    wanted = common.cut(shared.select(F.col("rep").alias("want")).distinct())
-    held = common.matched(docs, wanted, F.col("id") == F.col("want"), "left_semi")
-    words = common.cut(held.mapInArrow(_hash_rows, "id long, words binary").dropDuplicates(["id"]))
-    tried = common.cut(stars)
+    near = f"rep <> lead and least(n_words, lead_words) >= {similarity!r}D * greatest(n_words, lead_words) - 1e-6D"
+    stars = shared.where(near).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    tried = common.cut(_likely(stars, sketches, similarity).select("a", "b"))
     common.release(df.sparkSession)
-    roots = components(_verify(tried, words, similarity))
-    for _ in range(ROUNDS):
-        common.release(df.sparkSession)
-        # one representative per bucket and component; buckets of one component are done
-        few = roots.count() <= common.BROADCAST_KEYS
-        placed = shared.select("key", "rep", "n_words").join(F.broadcast(roots) if few else roots, F.col("rep") == F.col("v"), "left").select("key", "rep", "n_words", F.coalesce("root", "rep").alias("root"))
-        heads = placed.groupBy("key", "root").agg(F.min(F.struct("rep", "n_words")).alias("h")).select("key", F.col("h.rep").alias("rep"), F.col("h.n_words").alias("n_words"))
-        heads = common.cut(heads)
-        sizes = heads.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n_words")).alias("lead")).where("c > 1")
-        sizes = common.cut(sizes.select("key", "c", F.col("lead.rep").alias("lead"), F.col("lead.n_words").alias("lead_words")))
-        wide = common.cut(common.matched(heads, sizes, heads["key"] == sizes["key"], "inner").select(heads["key"], "rep", "n_words", "c", "lead", "lead_words"))
-        shared = wide
-        small = wide.where(f"c <= {ALL_PAIRS}").groupBy("key").agg(F.collect_list(F.struct("rep", "n_words")).alias("g"))
-        pairs = small.select(F.explode(F.expr("flatten(transform(g, x -> transform(filter(g, y -> x.rep < y.rep), y -> struct(x.rep as a, x.n_words as na, y.rep as b, y.n_words as nb))))")).alias("p")).select("p.*")
-        large = wide.where(f"c > {ALL_PAIRS}")
-        star = large.where("rep <> lead").select(F.col("lead").alias("a"), F.col("lead_words").alias("na"), F.col("rep").alias("b"), F.col("n_words").alias("nb"))
-        # neighbours in length, in pieces of about the same length, so that no bucket is ordered in one task
-        piece = Window.partitionBy("key", "piece").orderBy("n_words", "rep")
-        chain = large.withColumn("piece", F.expr("floor(ln(greatest(n_words, 1)) * 50)")).withColumn("b", F.lead("rep").over(piece)).withColumn("nb", F.lead("n_words").over(piece)).where("b is not null")
-        chain = chain.select(F.least("rep", "b").alias("a"), F.col("n_words").alias("na"), F.greatest("rep", "b").alias("b"), "nb")
-        pairs = pairs.unionByName(star).unionByName(chain).where(f"least(na, nb) >= {similarity!r}D * greatest(na, nb)").select("a", "b").distinct()
-        fresh = common.cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        found = None if fresh.isEmpty() else _verify(fresh, words, similarity)
-        if found is None or found.isEmpty():
-            break
-        tried = tried.unionByName(fresh)
-        roots = _merged(roots, found)
+    roots = components(_verify(tried, docs, similarity))
     common.release(df.sparkSession)
-    fresh = common.cut(_undecided(met, roots, words, similarity).join(tried, ["a", "b"], "left_anti"))
-    if not fresh.isEmpty():
-        roots = _merged(roots, _verify(fresh, words, similarity, PASSES))
+    fresh = common.cut(_undecided(shared.select("key", "rep", "n_words"), roots, sketches, similarity).join(tried, ["a", "b"], "left_anti"))
+    common.release(df.sparkSession)
+    for number in range(ROUNDS + 1):
+        n = fresh.count()
+        if not n:
+            break
+        if last := number == ROUNDS or n <= MANY_PAIRS:
+            now = fresh.select("a", "b")
+        else:
+            best = [fresh.groupBy(x).agg(F.max_by(y, F.struct("above", y)).alias(y)).select("a", "b") for x, y in ("ab", "ba")]
+            now = common.cut(best[0].unionByName(best[1]).distinct())
+        found = common.cut(_verify(now, docs, similarity))
+        if not found.isEmpty():
+            roots = _merged(roots, found)
+        if last:
+            break
+        ra, rb = roots.select(F.col("v").alias("va"), F.col("root").alias("ra")), roots.select(F.col("v").alias("vb"), F.col("root").alias("rb"))
+        left = _matched(_matched(fresh.join(now, ["a", "b"], "left_anti"), ra, F.col("a") == F.col("va"), "left"), rb, F.col("b") == F.col("vb"), "left")
+        fresh = common.cut(left.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "above"))
     common.release(df.sparkSession)
-    owner = members.select("same", "rep").join(roots, F.col("rep") == F.col("v"), "left").select(F.col("same").alias("owned"), F.coalesce("root", "rep").alias("class_id"))
-    owner = common.cut(owner)
-    out = sketched.join(owner, F.col("same") == F.col("owned")).select("id", "class_id", F.expr("id = class_id").alias("kept"))
+    out = _matched(sketched.select("id", "same"), copies, F.col("same") == F.col("copy"), "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    out = _matched(out, roots, F.col("rep") == F.col("v"), "left").select("id", F.coalesce("root", "rep").alias("class_id"))
+    out = out.select("id", "class_id", F.expr("id = class_id").alias("kept"))
     alone = docs.where("id is null").select("id", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
     return out.unionByName(alone).withColumnRenamed("id", id_col)
 
