@@ -57,7 +57,7 @@ AT_ONCE = 1 << 28
 #: Pairs above which those of each member's most similar partner are verified first; they only save work.
 MANY_PAIRS = 10_000
 #: Such rounds before all pairs left are verified.
-ROUNDS = 2
+ROUNDS = 1
 #: Keys that are broadcast at most; each broadcast passes through the driver.
 BROADCAST_KEYS = 200_000
 #: Hash cells of the counts that order words by rarity, as a power of two; any order is exact.
