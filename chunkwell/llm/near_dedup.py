@@ -11,8 +11,8 @@ one first; a pair is a link if the banded edit distance of the word sequences is
 (similarity of 0.8 or more). Then every pair of a bucket whose members still lie in two components is decided.
 
 Before a pair's words are fetched, it must pass a filter that no two similar texts fail: each member has a bitmap of its
-words with their occurrence numbers, two to four bits for each word, and the common bits (and what may lie in one bit)
-bound the words that two texts share. Buckets of more than 16 members are compared by these bitmaps as blocks, each a
+words with their occurrence numbers, two to four cells for each word, and the common bits (and what lies third or later
+in a cell) bound the words that two texts share. Buckets of more than 16 members are compared by these bitmaps as blocks, each a
 matrix product over members in order of length within one task, and only pairs that pass become rows. So no link within a bucket is
 lost, and a frequent passage does not make its bucket emit its square; what grows with the square is the product of bits.
 Where many pairs pass, those of each member's most similar partner are verified first, and then only pairs that still
@@ -46,7 +46,7 @@ SIMILARITY = 0.8
 ALL_PAIRS = 16
 #: Members in a block's side at most, about; a task compares two sides.
 SLICE = 16_384
-#: Bits in a bitmap: the power of two from twice the words, within these.
+#: Cells of a bitmap, two bits each: the power of two from twice the words, within these.
 FEWEST_BITS, MOST_BITS = 512, 1 << 17
 #: Cells of a bit matrix that is unpacked at once.
 UNPACKED = 1 << 21
@@ -220,20 +220,24 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def bitmap(words: np.ndarray) -> bytes:
-    """One bit for each word with its occurrence number, at its hash modulo the bitmap's size."""
+    """Which cells hold a word, then which hold two or more; a word with its occurrence number lies in its hash modulo
+    their number."""
     size = min(MOST_BITS, max(FEWEST_BITS, 1 << max(0, 2 * len(words) - 1).bit_length()))
-    held = np.zeros(size, dtype=bool)
+    held = np.zeros(size, dtype=np.int64)
     if len(words):
-        held[labelled(words, 1) & np.uint64(size - 1)] = True
-    return np.packbits(held).tobytes()
+        held = np.bincount((labelled(words, 1) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(np.concatenate([held >= 1, held >= 2])).tobytes()
 
 
 def _unpacked(bitmaps: list[bytes], size: int) -> np.ndarray:
-    """The bitmaps as rows of ``size`` bits; longer ones are folded, which is taking the hash modulo a smaller size."""
-    out = np.empty((len(bitmaps), size), dtype=np.uint8)
+    """The bitmaps as rows of twice ``size`` bits; longer ones are folded, which is taking the hash modulo fewer cells."""
+    out = np.empty((len(bitmaps), 2 * size), dtype=np.uint8)
     for i, packed in enumerate(bitmaps):
         bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8))
-        out[i] = bits if len(bits) == size else bits.reshape(-1, size).max(axis=0)
+        if len(bits) > 2 * size:
+            held = bits.reshape(-1, size).sum(axis=0)
+            bits = np.concatenate([held >= 1, held >= 2])
+        out[i] = bits
     return out
 
 
@@ -246,7 +250,7 @@ def margin(n: np.ndarray, bits: list[bytes], m: np.ndarray, others: list[bytes],
     """For each pair of texts of n and m words with these bitmaps, the most words that they can share above those needed:
     under 0 only if they cannot be similar."""
     out = np.zeros(len(n), dtype=np.int32)
-    sizes = np.array([min(len(x), len(y)) * 8 for x, y in zip(bits, others, strict=True)], dtype=np.int64)
+    sizes = np.array([min(len(x), len(y)) * 4 for x, y in zip(bits, others, strict=True)], dtype=np.int64)
     for size in np.unique(sizes):
         chosen = np.flatnonzero(sizes == size)
         step = max(16, UNPACKED // int(size))
@@ -266,7 +270,7 @@ def block_pairs(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, bits: list[by
     order = np.argsort(n, kind="stable")
     ids, roots, n, bits = ids[order], roots[order], n[order], [bits[i] for i in order]
     sides, keys = None if sides is None else sides[order], None if keys is None else keys[order]
-    sizes = np.array([len(x) * 8 for x in bits], dtype=np.int64)
+    sizes = np.array([len(x) * 4 for x in bits], dtype=np.int64)
     need, found = needed(n, similarity), [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32))]
     low = 0
     while low < len(n):
