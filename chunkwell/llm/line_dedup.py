@@ -221,27 +221,32 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return told.select("id", "line_no", "n", F.col("gline").isNotNull().alias("gone")), removed
 
 
-def _with_gone(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """(key, row, numbers): numbers are those of the row's lines that go, ascending; null if none does."""
-    keyed, texts = _texts(docs, id_col, text_col)
+def _numbers(texts: DataFrame, similarity: float) -> DataFrame:
+    """(gid, numbers), checkpointed: of each of texts (id, text) with lines that go, their numbers, ascending."""
     _, equal, removed = _repeated(texts, similarity)
-    numbers = common.cut(_gone(equal, removed).groupBy("gid").agg(F.array_sort(F.collect_list("gline")).alias("numbers")))
-    return keyed.join(numbers, F.col("key") == F.col("gid"), "left").select("key", "row", "numbers")
+    found = common.cut(_gone(equal, removed).groupBy("gid").agg(F.array_sort(F.collect_list("gline")).alias("numbers")))
+    del equal, removed
+    common.release(texts.sparkSession)  # what comes next may move the texts
+    return found
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with the repeated lines taken out of the text; all rows and columns stay."""
-    joined = _with_gone(docs, id_col, text_col, similarity).withColumn("t", F.col("row")[text_col])
+    keyed, texts = _texts(docs, id_col, text_col)
+    joined = keyed.join(_numbers(texts, similarity), F.col("key") == F.col("gid"), "left").withColumn("t", F.col("row")[text_col])
     kept = F.expr("if(numbers is null, t, array_join(filter(split(t, '\\n'), (x, i) -> not array_contains(numbers, i)), '\\n'))")
     return joined.select(*[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many lines it has, how many go, and their numbers."""
-    found = _with_gone(common.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", SIMILARITY)
+    keyed, texts = _texts(common.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     n_lines = F.size(F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n")).cast("long")
+    # lines are counted before the join, which then moves no text
+    counted = keyed.select("key", F.col("row.doc_id").alias("doc_id"), n_lines.alias("n_lines"))
+    found = counted.join(_numbers(texts, SIMILARITY), F.col("key") == F.col("gid"), "left")
     told = F.coalesce(F.array_join(F.transform("numbers", lambda x: x.cast("string")), ","), F.lit(""))
-    return found.select(F.col("row.doc_id").alias("doc_id"), n_lines.alias("n_lines"), F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_removed"), told.alias("removed_lines"))
+    return found.select("doc_id", "n_lines", F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_removed"), told.alias("removed_lines"))
 
 
 SQL = r"""

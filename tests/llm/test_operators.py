@@ -460,6 +460,24 @@ def test_line_dedup_at_other_similarities_and_with_repeated_ids(spark):
     assert "fresh words alone here now" in {x.text for x in line_dedup.remove_repeated_lines(df).collect()}
 
 
+def test_line_dedup_query_moves_no_text(spark, tmp_path):
+    rows = [(1, "a b c d e f\n\nq", "x"), (2, None, "y"), (3, "f e d c b a\nfresh words\nq", "z"), (4, "a b c d e g f", "z")]
+    for name, found in (("known", rows), ("repeated", [*rows, (None, "q\n\nnew", "x"), (4, "only here", "x")])):
+        spark.createDataFrame(found, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = line_dedup.op7_line_dedup(spark, f"{tmp_path}/{name}")
+        plan, seen = [got._jdf.queryExecution().optimizedPlan()], []
+        while plan:
+            node = plan.pop()
+            below = [node.children().apply(i) for i in range(node.children().size())]
+            plan += below
+            if node.nodeName() == "Join":
+                seen += [(x.output().apply(i).name(), x.output().apply(i).dataType().simpleString()) for x in below for i in range(x.output().size())]
+        assert seen and not [x for x in seen if "string" in x[1]]  # neither the text nor a row with it reaches the join
+        want = {1: (3, 0, ""), 2: (1, 0, ""), 3: (3, 2, "0,2"), 4: (1, 1, "0")} if name == "known" else None
+        assert want is None or {x.doc_id: (x.n_lines, x.n_removed, x.removed_lines) for x in got.collect()} == want
+        assert want or sorted(((x.doc_id or 0), x.n_lines, x.n_removed) for x in got.collect()) == [(0, 3, 0), (1, 3, 1), (2, 1, 0), (3, 3, 2), (4, 1, 0), (4, 1, 1)]
+
+
 # ---- WARC
 
 
